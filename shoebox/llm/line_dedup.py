@@ -1,7 +1,7 @@
 """Line dedup with DataFrame operations only.
 
-1. Every line becomes (128-bit key hash, document, position), without its text. The rows are
-   range-partitioned by hash *and document*, so the ranges that Spark samples split a hot line
+1. Every line becomes (128-bit key hash, document, position), without its text. The rows
+   are written once (a few hundredths of the input), range-partitioned by hash *and document*, so the ranges that Spark samples split a hot line
    over many tasks, and sorted within partitions by document and position.
 2. Streaming over that order, the first occurrence of a key in a document counts the document
    (the window needs no second exchange: a range partitioning by (hash, document) already keeps
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from shoebox.llm.common import SPACE, documents
+from shoebox.plans.tables import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,10 +42,12 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
 def drop_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """(doc, th, n_dropped, words array<struct<word, bits>>) for the documents that lose lines:
     bit ``pos % 64`` of word ``pos / 64`` is set if line ``pos`` (from 0) goes."""
-    rows = line_rows(docs, doc_id, text, min_chars).repartitionByRange("h1", "h2", "doc", "th").sortWithinPartitions("h1", "h2", "doc", "th", "pos")
+    scratch = Scratch(docs.sparkSession, "lines")
+    rows = scratch.write(line_rows(docs, doc_id, text, min_chars))
+    ranged = rows.repartitionByRange("h1", "h2", "doc", "th").sortWithinPartitions("h1", "h2", "doc", "th", "pos")
     nth = F.row_number().over(W.partitionBy("h1", "h2", "doc", "th").orderBy("pos"))
-    firsts = rows.withColumn("nth", nth).where("nth = 1")
-    frequent = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    firsts = ranged.withColumn("nth", nth).where("nth = 1")
+    frequent = scratch.write(firsts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"))
     gone = rows.join(frequent, ["h1", "h2"], "left_semi")
     word = (F.col("pos") / 64).cast("int")
     bits = gone.groupBy("doc", "th", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
