@@ -6,7 +6,9 @@ word, so the lattice of a text falls apart into one lattice a word. Each lattice
 in log space by forward recursion. Characters that the vocabulary lacks are spelled by its byte
 pieces. The pieces' weights start from the vocabulary's own scores (a rank r has weight
 1 / (r + OFFSET)) and take one step of expectation-maximisation over all training words, with the end as a
-further piece; they sum to one, so the scores of all texts sum to one at most.
+further piece; they sum to one. A word type met in training is one more segmentation, the word
+whole: with c of N training tokens and V training types its probability is (c + V * lattice) / (N + V)
+(Witten-Bell), so the scores of all texts sum to one at most.
 
 Spark side, per word type and not per token:
 1. count words (map-side in Python, then a Spark aggregation) over all documents;
@@ -169,13 +171,23 @@ def expected_pieces(words: DataFrame, path: str, raw: bytes | None) -> DataFrame
     return words.where("c > 0").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def word_scores(words: DataFrame, path: str, weights) -> DataFrame:
+def with_whole(lattice: float, c: int, n: int, v: int) -> float:
+    """Natural log of (c + v * exp(lattice)) / (n + v)."""
+    if not n:
+        return lattice
+    spelled = math.log(v) + lattice
+    whole = math.log(c) if c else -math.inf
+    most = max(spelled, whole)
+    return most + math.log1p(math.exp(min(spelled, whole) - most)) - math.log(n + v)
+
+
+def word_scores(words: DataFrame, path: str, weights, n: int, v: int) -> DataFrame:
     """(word, c, lp): ``lp`` the natural log of the word's marginal probability."""
 
     def run(batches):
         lattice = _lattice(path, weights.value)
         for batch in batches:
-            lp = [lattice.log_prob(w) for w in batch.column("word").to_pylist()]
+            lp = [with_whole(lattice.log_prob(w), c, n, v) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp, pa.float64())], ["word", "c", "lp"])
 
     return words.mapInArrow(run, "word binary, c long, lp double")
@@ -243,10 +255,10 @@ def lm_scores(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     counts[first.end] = ends
     mixed = counts + first.weights * max(1.0, 1e-3 * counts.sum())  # every piece stays possible
     weights = mixed / mixed.sum()
-    end_lp = math.log(weights[first.end])
+    end_lp = with_whole(math.log(weights[first.end]), ends, n, v)
 
     shared = spark.sparkContext.broadcast(weights.tobytes())
-    scored = scratch.write(word_scores(types, path, shared))
+    scored = scratch.write(word_scores(types, path, shared, n, v))
     base = -math.log10(n + v + 1)
     top = scored.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).where("c > 0").toArrow()
     table = {w: (c > 0, math.log10(c + 1), lp) for w, c, lp in zip(top["word"].to_pylist(), top["c"].to_pylist(), top["lp"].to_pylist())}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shoebox.llm.common import Memo, documents, id_remainder, map_texts, table
 
 MODULUS, HELD_OUT, TOXIC, CLEAN, THRESHOLD = 4, 2, 2_000, 4_000, 0.3
-DIM, CORE, LOG_ODDS, LEAST_DOCS = 1 << 18, 256, 3.0, 5
+DIM, CORE, LOG_ODDS, LEAST_DOCS = 1 << 18, 256, 3.0, 4
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -158,28 +158,30 @@ def fit_crf(texts: list[list[str]], tags: list[np.ndarray], epochs: int = 12, wi
         for s in range(0, len(words), window):
             (with_toxic if tag[s : s + window].any() else without).append((words, tag, s))
     picked = rng.permutation(len(without))[: 2 * len(with_toxic) + 100]
-    windows = with_toxic + [without[i] for i in picked]
+    windows = []
+    for words, tag, s in with_toxic + [without[i] for i in picked]:
+        ids, at, part = [], [], words[s : s + window]
+        for k, w in enumerate(part):
+            f = list(memo[w][0])
+            if s + k:
+                f.append(memo[words[s + k - 1]][1])
+            if s + k + 1 < len(words):
+                f.append(memo[words[s + k + 1]][2])
+            ids += f
+            at += [k] * len(f)
+        gold = np.zeros(window)
+        gold[: len(part)] = tag[s : s + window]
+        windows.append((np.array(ids), np.array(at), gold, len(part)))
     g2, b2, t2 = np.full(DIM, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for start in range(0, len(order), 256):
             batch = [windows[i] for i in order[start : start + 256]]
-            ids, at, e, gold = [], [], np.full((len(batch), window), 0.0), np.zeros((len(batch), window))
-            size = np.zeros(len(batch), np.int64)
-            for r, (words, tag, s) in enumerate(batch):
-                part = words[s : s + window]
-                size[r] = len(part)
-                gold[r, : len(part)] = tag[s : s + window]
-                for k, w in enumerate(part):
-                    f = list(memo[w][0])
-                    if s + k:
-                        f.append(memo[words[s + k - 1]][1])
-                    if s + k + 1 < len(words):
-                        f.append(memo[words[s + k + 1]][2])
-                    ids += f
-                    at += [r * window + k] * len(f)
-            ids, at = np.array(ids), np.array(at)
-            e = np.bincount(at, weights=model.w[ids], minlength=e.size).reshape(e.shape) + model.bias
+            ids = np.concatenate([f for f, _, _, _ in batch])
+            at = np.concatenate([p + r * window for r, (_, p, _, _) in enumerate(batch)])
+            gold = np.array([g for _, _, g, _ in batch])
+            size = np.array([n for _, _, _, n in batch])
+            e = np.bincount(at, weights=model.w[ids], minlength=gold.size).reshape(gold.shape) + model.bias
             live = np.arange(window)[None, :] < size[:, None]
             a = np.exp(model.trans)
             psi = np.exp(np.clip(np.where(live, e, 0), -30, 30))
