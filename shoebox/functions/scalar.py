@@ -168,7 +168,7 @@ def crop_rect(crop) -> Column:
 def parse_exiftool(json_text) -> Column:
     """struct of the metadata in an exiftool JSON array: its last object, each field from the first
     non-empty of its tags; nulls if the text is no such array."""
-    last = F.element_at(F.from_json(col(json_text), "array<map<string,string>>"), -1)
+    last = F.try_element_at(F.from_json(col(json_text), "array<map<string,string>>"), F.lit(-1))
     first = lambda *tags: F.coalesce(*[F.when(last[t] != "", stripped(last[t])) for t in tags])
     return F.struct(
         first("Make", "CameraMake").alias("camera_make"),

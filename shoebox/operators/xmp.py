@@ -52,7 +52,7 @@ def render(title="event_title", hierarchy="event_hierarchy", stars="star_rating"
     nested = F.concat(F.lit("<lr:Hierarchy><lr:Event>"), element("dc:title", F.when(there(title), title).otherwise(hierarchy)), F.lit("</lr:Event></lr:Hierarchy>"))
     about = F.concat(_if(there(flag), element("lr:Flag", flag)), _if(there(title), element("lr:Headline", title)), _if(there(hierarchy), nested), _if(rated, element("lr:Star", star)))
     first = F.concat(
-        F.lit(f'  <rdf:Description{rdf}{declarations("lr", "xap")} xap:CreatorTool="{CREATOR}"'),
+        F.lit(f'  <rdf:Description{rdf}{declarations("lr", "xap", "dc")} xap:CreatorTool="{CREATOR}"'),
         F.when(star == "0", "").otherwise(F.concat(F.lit(' xmp:Rating="'), star, F.lit('"'))), F.lit(">"), about, F.lit("</rdf:Description>"),
     )
     numbered = F.array_join(F.transform(levels, lambda x, i: element(F.concat(F.lit("crs:Level"), (i + 1).cast("string")), x)), "")

@@ -498,7 +498,7 @@ _RDF = ' xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"'
 _XMP_SQL = f""", edited AS (SELECT item_id, stars, {_FLAG} AS flag, {_ESC.format('title')} AS title, {_ESC.format("coalesce(title, hier)")} AS either, hier, list_transform({_LEVELS}, lambda x: {_ESC.format('x')}) AS levels,
   list_transform(kw, lambda x: {_ESC.format('x')}) AS kw FROM ({_EDITED}))
   SELECT item_id, array_to_string(list_filter(['<?xml version="1.0" encoding="UTF-8"?>', '<xmp:xmpmeta xmlns:xmp="http://ns.adobe.com/xap/1.0/">', '  <rdf:RDF{_RDF}>',
-  '  <rdf:Description{_RDF} xmlns:lr="http://ns.adobe.com/lightroom/1.0/" xmlns:xap="http://ns.adobe.com/xap/1.0/" xap:CreatorTool="{xmp.CREATOR}"' || CASE WHEN stars > 0 THEN ' xmp:Rating="' || stars || '"' ELSE '' END || '>'
+  '  <rdf:Description{_RDF} xmlns:lr="http://ns.adobe.com/lightroom/1.0/" xmlns:xap="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xap:CreatorTool="{xmp.CREATOR}"' || CASE WHEN stars > 0 THEN ' xmp:Rating="' || stars || '"' ELSE '' END || '>'
     || coalesce('<lr:Flag>' || flag || '</lr:Flag>', '') || coalesce('<lr:Headline>' || title || '</lr:Headline>', '') || CASE WHEN hier IS NOT NULL THEN '<lr:Hierarchy><lr:Event><dc:title>' || either || '</dc:title></lr:Event></lr:Hierarchy>' ELSE '' END
     || CASE WHEN stars > 0 THEN '<lr:Star>' || stars || '</lr:Star>' ELSE '' END || '</rdf:Description>',
   CASE WHEN hier IS NOT NULL OR len(kw) > 0 OR flag = 'No' THEN '  <rdf:Description{_RDF} xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/">'

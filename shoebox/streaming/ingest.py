@@ -13,7 +13,7 @@ from shoebox.schema import MEDIA_ITEMS
 def new_files(spark: SparkSession, root: str) -> DataFrame:
     """A stream of (item_id, file_path, file_size, file_format). The source leaves out names that begin
     with ``_`` or ``.``; a full scan finds those."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", r"\Afile:/+", "/")
     rows = rows.select(path.alias("file_path"), F.col("length").alias("file_size")).where(supported_image("file_path"))
     return rows.select(F.sha2(F.col("file_path").cast("binary"), 256).substr(1, 32).alias("item_id"), "file_path", "file_size", detect_format("file_path").alias("file_format"))
