@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoebox.plans.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; set to a fresh local one only where unset."""
@@ -26,6 +28,7 @@ class Scratch:
     """A family of written tables that one query needs. ``drop`` frees a table early."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/shoebox/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.functions import scalar as S, vectors as V
 from shoebox.operators import dedup, events, hamming, knn, store, visual, xmp
+from shoebox.plans.ship import ship
 from shoebox.plans.tables import shared_dir
 from shoebox.schema import MEDIA_ITEMS
 from shoebox.testdata import MEDIA_SQL, media_items, read
@@ -627,8 +628,18 @@ def embedding_stats(spark, sf_dir):
     return images.stats(_results(spark, sf_dir))
 
 
+def shipped(f):
+    """``f`` with the package sent to the workers first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: shipped(f) for k, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
