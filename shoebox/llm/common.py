@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shoebox.plans.ship import ship
+
 #: The white space of every contract: \x20 and \x09 to \x0D. bytes.split() splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -70,6 +72,7 @@ def map_texts(df: DataFrame, make: Callable, schema: str, max_chars: int = 2_000
             if out is not None and out.num_rows:
                 yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.llm.common import documents, id_remainder, map_texts, table, words_of
+from shoebox.plans.ship import ship
 
 MODULUS, HELD_OUT, POSITIVES, UNLABELLED = 3, 1, 8_000, 16_000
 
@@ -157,6 +158,7 @@ def keep_good(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
         for part, texts in chunks(batches):
             yield part.filter(pa.array(score(m, np.array([features(t) for t in texts])) >= least))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
