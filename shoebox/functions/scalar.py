@@ -40,13 +40,12 @@ def base_name(path) -> Column:
 
 def suffix(path) -> Column:
     """The lower-case suffix with its dot, or ''; a leading dot alone begins no suffix."""
-    return F.lower(F.regexp_extract(base_name(path), r"[^.].*?(\.[^.]+)\z", 1))
+    return F.lower(F.regexp_extract(col(path), r"[^./][^/]*?(\.[^./]+)/*\z", 1))
 
 
 def stem(path) -> Column:
     """The base name without its last suffix."""
-    name = base_name(path)
-    return F.coalesce(F.nullif(F.regexp_extract(name, r"\A(.*[^.].*?)\.[^.]+\z", 1), F.lit("")), name)
+    return F.regexp_extract(col(path), r"\A(?s:.*/)?(\.?[^/]+?)(?:\.[^./]+)?/*\z", 1)
 
 
 def supported_image(path) -> Column:

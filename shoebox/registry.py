@@ -318,18 +318,38 @@ def body_split(spark, sf_dir):
     return events.body_split(media_items(spark, sf_dir))
 
 
-@query()
+#: The day walk as a recursion over each day's rows; events of two or more; visual components of the rest.
+WALK_SQL = KEYED_SQL + """, ordered AS MATERIALIZED (SELECT item_id, day, body, timestamp_utc AS ts, gps, row_number() OVER (PARTITION BY day ORDER BY timestamp_utc NULLS FIRST, item_id) AS rn FROM keyed WHERE day <> '?'),
+  walk AS (SELECT day, rn, item_id, ts, 0::BIGINT AS seq, body, ts AS last, CASE WHEN gps IS NULL THEN [] ELSE [gps] END AS pts FROM ordered WHERE rn = 1
+    UNION ALL SELECT day, rn, item_id, ts, CASE WHEN joins THEN seq ELSE seq + 1 END, CASE WHEN joins THEN open_body ELSE body END, CASE WHEN joins THEN coalesce(ts, last) ELSE ts END,
+      CASE WHEN NOT joins THEN CASE WHEN gps IS NULL THEN [] ELSE [gps] END WHEN gps IS NULL OR list_contains(pts, gps) THEN pts ELSE list_append(pts, gps) END
+    FROM (SELECT n.*, w.seq, w.body AS open_body, w.last, w.pts, n.body = w.body OR ((n.ts IS NULL OR w.last IS NULL OR n.ts - w.last <= INTERVAL 30 MINUTE) AND n.gps IS NOT NULL AND len(list_filter(w.pts, lambda p:
+        2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(n.gps[1] - p[1]) / 2), 2) + cos(radians(p[1])) * cos(radians(n.gps[1])) * pow(sin(radians(n.gps[2] - p[2]) / 2), 2)))) <= 50)) > 0) AS joins
+      FROM walk w JOIN ordered n ON n.day = w.day AND n.rn = w.rn + 1))"""
+EVENTS_SQL = WALK_SQL + """, dated AS MATERIALIZED (SELECT item_id, day, ts, seq FROM walk QUALIFY count(*) OVER (PARTITION BY day, seq) >= 2),
+  rest AS MATERIALIZED (SELECT item_id, timestamp_utc AS ts, dinov2_vector AS v FROM media_items WHERE timestamp_utc IS NULL AND gps IS NULL AND item_id NOT IN (SELECT item_id FROM dated)),
+  near AS MATERIALIZED (SELECT a.item_id AS x, b.item_id AS y FROM rest a JOIN rest b ON 1 - list_cosine_similarity(a.v, b.v) <= 0.05),
+  reached AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reached r JOIN near n ON r.y = n.x),
+  placed AS (SELECT x AS item_id, min(y) AS component FROM reached GROUP BY x),
+  members AS (SELECT 0 AS phase, day, seq, '' AS component, item_id, ts FROM dated UNION ALL
+    SELECT 1, '', 0, component, item_id, ts FROM placed JOIN rest USING (item_id) QUALIFY count(*) OVER (PARTITION BY component) >= 2),
+  cut AS (SELECT m.*, (row_number() OVER (PARTITION BY phase, m.day, seq, component ORDER BY ts NULLS FIRST, item_id) - 1) // 10000 AS chunk, k.day AS own_day FROM members m JOIN keyed k USING (item_id)),
+  found AS (SELECT phase, day, seq, component, chunk, string_agg(item_id, ',' ORDER BY item_id) AS item_ids, count(*)::INT AS size, min(own_day) FILTER (own_day <> '?') AS own_day FROM cut GROUP BY phase, day, seq, component, chunk)
+  SELECT 'event-' || lpad((row_number() OVER (ORDER BY phase, day, seq, component, chunk))::VARCHAR, 4, '0') AS event_id, size, CASE WHEN own_day IS NULL THEN 'Untitled event' ELSE 'Event on ' || own_day END AS title, phase = 1 AS anchored_by_visual, item_ids FROM found"""
+
+
+@query(WALK_SQL + " SELECT item_id, day, seq FROM walk")
 def day_events(spark, sf_dir):
     return events.day_events(media_items(spark, sf_dir)).select("item_id", "day", "seq")
 
 
-@query()
+@query(EVENTS_SQL)
 def events_(spark, sf_dir):
     found = events.cluster(media_items(spark, sf_dir))
     return found.select("event_id", "size", "title", "anchored_by_visual", _text("item_ids").alias("item_ids"))
 
 
-QUERIES["events"] = QUERIES.pop("events_")
+QUERIES["events"], SQL["events"] = QUERIES.pop("events_"), SQL.pop("events_")
 
 
 @query(ISLANDS_SQL + """, big AS (SELECT day, island FROM islands GROUP BY day, island HAVING count(*) >= 2),
