@@ -22,6 +22,7 @@ labels; only the id and text columns are read; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -77,6 +78,27 @@ def toxic_stems(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     return {s for s, n in t.items() if n >= LEAST_DOCS and math.log((n + 0.5) / a / ((c[s] + 0.5) / b)) >= LOG_ODDS}
 
 
+class Tokens(dict):
+    """Rows of weights of the words met, at most ``limit`` besides those of one text."""
+
+    def __init__(self, crf: Crf, limit: int = 300_000):
+        super().__init__()
+        self.crf, self.limit, self.table = crf, limit, np.empty((4096, 3))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[at] = self.crf.token(word)
+        return at
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[ids]
+
+
 class Crf:
     """Weights of the chain; states are clean (0, the reference) and toxic (1)."""
 
@@ -86,13 +108,18 @@ class Crf:
 
     def token(self, word: str) -> tuple[float, float, float]:
         """Weight of the word itself, as a left neighbour and as a right neighbour."""
-        own = sum(self.w[feature_ids(word)].tolist()) + self.bias
-        return own, float(self.w[neighbour_id(word, "<")]), float(self.w[neighbour_id(word, ">")])
+        w = self.flat
+        return sum([w[i] for i in feature_ids(word)]) + self.bias, w[neighbour_id(word, "<")], w[neighbour_id(word, ">")]
+
+    @functools.cached_property
+    def flat(self) -> list[float]:
+        return self.w.tolist()
 
-    def scores(self, words: list[str], memo) -> np.ndarray:
+    def scores(self, words: list[str], known: Tokens) -> np.ndarray:
+        """Score of each word of a text for the toxic state."""
         if not words:
             return np.empty(0)
-        x = np.array(list(map(memo.__getitem__, words)))
+        x = known.rows(words)
         out = x[:, 0].copy()
         out[1:] += x[:-1, 1]
         out[:-1] += x[1:, 2]
@@ -259,7 +286,7 @@ def fit(toxic: list[str], clean: list[str], share: float) -> Model:
     tags = [np.array([hot[w] for w in words], bool) for words in t] + [np.zeros(len(words), bool) for words in c]
     crf = fit_crf(t + c, tags)
     model = Model(crf, np.zeros(5))
-    memo = Memo(crf.token)
+    memo = Tokens(crf)
     x = np.array([summary(p) for p in model.tag(t + c, memo)])
     y = np.array([1.0] * len(t) + [0.0] * len(c))
     weight = np.where(y == 1, share * len(y) / len(t), (1 - share) * len(y) / len(c))
@@ -288,7 +315,7 @@ def score_documents(docs: DataFrame, model: Model, spans: bool = True) -> DataFr
 
     def make():
         m = shared.value
-        memo = Memo(m.crf.token)
+        memo = Tokens(m.crf)
 
         def apply(batch, texts):
             words = [split(t) for t in texts]
