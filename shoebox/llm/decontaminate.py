@@ -1,12 +1,12 @@
 """Benchmark decontamination: BM25 with block-max WAND, then word-shingle overlap.
 
-The test items are the collection: an inverted index with BM25 impacts, postings in blocks with
-their largest impact. Every passage of every training document is a query (windows of twice the
+The test items are the collection: an inverted index with BM25 impacts, postings cut into aligned
+blocks of items with each term's largest impact in the block. Every passage of every training document is a query (windows of twice the
 longest item, half overlapping, so an item's length of text always falls into one whole). For each
 item there is a threshold that no passage which holds ``SIMILAR`` of its shingles can miss: the item's
-summed impacts without its heaviest words that so large an overlap may lack. WAND walks the postings
-and skips whole blocks that can't reach the least threshold; before that, a passage whose words' largest
-impacts don't add up to it is skipped without a walk.
+summed impacts without its heaviest words that so large an overlap may lack. A block is skipped for a
+passage whose block maxima don't add up to the block's least threshold (sums for all blocks at once, over
+half-passages); in the others WAND walks the postings from pivot to pivot.
 
 Retrieved pairs are verified on the whole document: the share of the item's five-word shingles
 that the document has, over the item and over its question and answer apart (the answer is the
@@ -28,14 +28,15 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import Memo, documents, map_texts, table
+from shoebox.llm.common import documents, map_texts, table
 
-WORD, SHINGLE, SIMILAR, K1, B, BLOCK, ITEMS = re.compile(r"[^\W_]+"), 5, 0.8, 1.2, 0.5, 32, 20_000
+WORD, SHINGLE, SIMILAR, K1, B, BLOCK, MAX_BLOCKS, ITEMS, SLAB = re.compile(r"[^\W_]+"), 5, 0.8, 1.2, 0.5, 4, 64, 2_000, 20_000
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -61,7 +62,9 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]]):
         items = [(i, t, terms_of(t)) for i, t in items]
-        items = [x for x in items if x[2]]
+        df = Counter(t for _, _, w in items for t in set(w))
+        # items that share their most common word stand together: blocks then bound more tightly
+        items = sorted((x for x in items if x[2]), key=lambda x: (max((df[t], t) for t in x[2]), x[2]))
         self.ids = [i for i, _, _ in items]
         self.words = [w for _, _, w in items]
         self.shingles = [shingles(w) for w in self.words]
@@ -71,7 +74,6 @@ class Index:
         n = len(items)
         self.longest = max(map(len, self.words), default=1)
         mean = sum(map(len, self.words)) / max(1, n)
-        df = Counter(t for w in self.words for t in set(w))
         posted: dict[str, list[tuple[int, float]]] = {}
         self.least = []
         for i, words in enumerate(self.words):
@@ -83,63 +85,76 @@ class Index:
             lacking = math.floor((1 - SIMILAR) * len(self.shingles[i]) + 1e-9)
             weights = sorted(impacts.values())
             self.least.append(max(1e-9, sum(weights[: max(1, len(weights) - lacking)]) - 1e-9))
-        self.floor = min(self.least, default=math.inf)
-        self.post = {t: ([i for i, _ in p], [x for _, x in p], [max(x for _, x in p[b : b + BLOCK]) for b in range(0, len(p), BLOCK)]) for t, p in posted.items()}
-        self.most = {t: max(p[2]) for t, p in self.post.items()}
-
-    def search(self, query: set[str]) -> list[tuple[int, float]]:
-        """Block-max WAND: all items whose score for the query's words reaches their threshold."""
-        lists = [[0, self.post[t][0], self.post[t][1], self.post[t][2], self.most[t]] for t in query if t in self.post]
+        size = max(BLOCK, -(-n // MAX_BLOCKS))
+        self.post: dict[str, list[tuple[int, float]]] = posted
+        self.blocks = []
+        for lo in range(0, n, size):
+            self.blocks.append(({}, min(self.least[lo : lo + size])))
+        for t, p in posted.items():
+            for i, x in p:
+                self.blocks[i // size][0].setdefault(t, ([], []))[0].append(i)
+                self.blocks[i // size][0][t][1].append(x)
+        self.blocks = [({t: (d, x, max(x)) for t, (d, x) in terms.items()}, floor) for terms, floor in self.blocks]
+        self.term = {t: k + 1 for k, t in enumerate(posted)}
+        self.most = np.zeros((len(posted) + 1, max(1, len(self.blocks))))
+        for b, (terms, _) in enumerate(self.blocks):
+            for t, (_, _, x) in terms.items():
+                self.most[self.term[t], b] = x
+        self.floors = np.array([f for _, f in self.blocks] or [math.inf]) - 1e-6
+
+    def search(self, query: set[str], blocks=None) -> list[tuple[int, float]]:
+        """Block-max WAND: all items of the blocks whose score for the query reaches their threshold."""
         out = []
-        while lists:
-            lists.sort(key=lambda c: c[1][c[0]])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(lists):
-                bound += c[4]
-                if bound >= self.floor:
-                    pivot = k
+        for b in range(len(self.blocks)) if blocks is None else blocks:
+            terms, floor = self.blocks[b]
+            lists = [[0, *terms[t]] for t in query & terms.keys()]
+            if sum(c[3] for c in lists) < floor:
+                continue
+            while lists:
+                lists.sort(key=lambda c: c[1][c[0]])
+                bound, pivot = 0.0, -1
+                for k, c in enumerate(lists):
+                    bound += c[3]
+                    if bound >= floor:
+                        pivot = k
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                break
-            doc = lists[pivot][1][lists[pivot][0]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][1][lists[pivot + 1][0]] == doc:
-                pivot += 1
-            block, ends = 0.0, []
-            for c in lists[: pivot + 1]:
-                at = bisect_left(c[1], doc, c[0])
-                if at < len(c[1]):
-                    block += c[3][at // BLOCK]
-                    ends.append(c[1][min(len(c[1]), (at // BLOCK + 1) * BLOCK) - 1])
-            if block < self.floor:  # no item up to the first block's end can reach it
-                to = min([min(ends, default=doc) + 1, *(lists[k][1][lists[k][0]] for k in range(pivot + 1, len(lists)))])
-                to = max(to, doc + 1)
-            elif lists[0][1][lists[0][0]] == doc:
-                score = sum(c[2][c[0]] for c in lists[: pivot + 1])
-                if score >= self.least[doc]:
-                    out.append((doc, score))
-                to = doc + 1
-            else:
-                to = doc
-            for c in lists[: pivot + 1]:
-                c[0] = bisect_left(c[1], to, c[0])
-            lists = [c for c in lists if c[0] < len(c[1])]
+                item = lists[pivot][1][lists[pivot][0]]
+                if lists[0][1][lists[0][0]] == item:
+                    at = [c for c in lists if c[1][c[0]] == item]
+                    score = sum(c[2][c[0]] for c in at)
+                    if score >= self.least[item]:
+                        out.append((item, score))
+                    for c in at:
+                        c[0] += 1
+                else:
+                    for c in lists[:pivot]:
+                        c[0] = bisect_left(c[1], item, c[0])
+                lists = [c for c in lists if c[0] < len(c[1])]
         return out
 
-    def overlaps(self, text: str, most) -> list[tuple[int, float, float, float, float]]:
+    def overlaps(self, text: str) -> list[tuple[int, float, float, float, float]]:
         """(item, BM25, overlap, question overlap, answer overlap) of the items found in the text."""
         words = terms_of(text)
-        if not words:
+        if not words or not self.ids:
             return []
-        weight = np.fromiter(map(most.__getitem__, words), np.float64, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(weight)])
-        starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
-        ends = np.minimum(starts + 2 * self.longest, len(words))
+        rows = np.fromiter(map(self.term.get, words, repeat(0)), np.int64, len(words))
+        starts = np.arange(0, len(words), self.longest)
+        known = np.flatnonzero(rows)
+        half = np.zeros((len(starts), self.most.shape[1]))
+        for lo in range(0, len(known), SLAB):  # distinct words of each half; a half cut by a slab counts some twice
+            at = known[lo : lo + SLAB]
+            pairs = np.unique(at // self.longest * len(self.most) + rows[at])
+            of, first = np.unique(pairs // len(self.most), return_index=True)
+            half[of] += np.add.reduceat(self.most[pairs % len(self.most)], first, axis=0)
+        bound = half if len(half) == 1 else half[:-1] + half[1:]
         scores: dict[int, float] = {}
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= self.floor - 1e-6).tolist():
-            query = set(words[starts[k] : ends[k]])
-            if sum(map(most.__getitem__, query)) >= self.floor:
-                for i, score in self.search(query):
-                    scores[i] = max(score, scores.get(i, 0.0))
+        found = bound >= self.floors
+        for k in np.flatnonzero(found.any(axis=1)).tolist():
+            query = set(words[starts[k] : starts[k] + 2 * self.longest])
+            for i, score in self.search(query, np.flatnonzero(found[k]).tolist()):
+                scores[i] = max(score, scores.get(i, 0.0))
         if not scores:
             return []
         have: dict[int, set] = {}
@@ -171,14 +186,13 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, bl
 
         def make():
             at = shared.value
-            most = Memo(lambda w: at.most.get(w, 0.0))
 
             def apply(batch, texts):
-                found = [(row, *x) for row, t in enumerate(texts) for x in at.overlaps(t, most) if x[2] >= similar]
+                found = [(row, *x) for row, t in enumerate(texts) for x in at.overlaps(t) if x[2] >= similar]
                 cols = list(zip(*found)) or [()] * 6
-                ids = batch.column("doc_id").take(pa.array(cols[0], pa.int32()))
+                names = batch.column("doc_id").take(pa.array(cols[0], pa.int32()))
                 rest = [pa.array(c, pa.float64()) for c in cols[2:]]
-                return pa.RecordBatch.from_arrays([ids, pa.array([at.ids[i] for i in cols[1]], item_type), *rest], ["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
+                return pa.RecordBatch.from_arrays([names, pa.array([at.ids[i] for i in cols[1]], item_type), *rest], ["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
 
             return apply
 
