@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all written tables of this library in the shared folder; results that still read them fail."""
+    Scratch(spark, "clear")._delete(f"{shared_dir(spark)}/shoebox")
+
+
 class Scratch:
     """A family of written tables that one query needs. ``drop`` frees a table early."""
 

@@ -535,7 +535,7 @@ def xmp_render(spark, sf_dir):
     return _edited(spark, sf_dir).select("item_id", xmp.render().alias("document"))
 
 
-@query()
+@query(" SELECT item_id || '.xmp' AS name FROM media_items")
 def xmp_write(spark, sf_dir):
     out = _folder(spark, "xmp")
     rows = _edited(spark, sf_dir).select(F.concat(F.lit(out + "/"), "item_id", F.lit(".xmp")).alias("sidecar_path"), xmp.render().alias("document"))
