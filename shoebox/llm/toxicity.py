@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.llm.common import Memo, documents, id_remainder, map_texts, table
 
-MODULUS, HELD_OUT, TOXIC, CLEAN, THRESHOLD = 4, 2, 2_000, 4_000, 0.3
+MODULUS, HELD_OUT, TOXIC, CLEAN, THRESHOLD = 4, 2, 1_500, 3_000, 0.3
 DIM, CORE, LOG_ODDS, LEAST_DOCS = 1 << 18, 256, 3.0, 4
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -46,23 +46,24 @@ def split(text: str | None) -> list[str]:
 
 
 def plain(word: str) -> str:
-    return _EDGE.sub("", word).lower()
+    return word.lower() if word.isalnum() else _EDGE.sub("", word).lower()
 
 
 def stems(word: str) -> list[str]:
     """The word and its prefixes of 4 to 6 letters."""
-    return [f"={word}", *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k)]
+    return ["=" + word, *["^" + word[:k] for k in (4, 5, 6) if len(word) > k]]
 
 
-def feature_ids(word: str) -> list[int]:
-    """Hashed features of a word by itself."""
-    w = plain(word)
-    names = [*stems(w), f"${w[-3:]}", f"#{min(len(w), 12)}", "caps" if word.isupper() else "low"]
-    return [xxhash.xxh32_intdigest(x.encode()) & (DIM - 1) for x in names]
+def _id(name: str) -> int:
+    return xxhash.xxh32_intdigest(name) & (DIM - 1)
 
 
-def neighbour_id(word: str, side: str) -> int:
-    return xxhash.xxh32_intdigest(f"{side}{plain(word)}".encode()) & (DIM - 1)
+CASE = _id("low"), _id("caps")
+
+
+def plain_ids(word: str) -> tuple[list[int], int, int]:
+    """Hashed features of a plain word: its own, as a left and as a right neighbour."""
+    return [_id(x) for x in (*stems(word), "$" + word[-3:], f"#{min(len(word), 12)}")], _id("<" + word), _id(">" + word)
 
 
 def toxic_stems(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
@@ -84,12 +85,14 @@ class Tokens(dict):
     def __init__(self, crf: Crf, limit: int = 300_000):
         super().__init__()
         self.crf, self.limit, self.table = crf, limit, np.empty((4096, 3))
+        self.plain = Memo(crf.plain_token, limit)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[at] = self.crf.token(word)
+        own, left, right = self.plain[plain(word)]
+        self.table[at] = own + self.crf.flat[CASE[word.isupper()]], left, right
         return at
 
     def rows(self, words: list[str]) -> np.ndarray:
@@ -106,10 +109,11 @@ class Crf:
         self.w = np.zeros(DIM)
         self.bias, self.trans = -4.0, np.zeros((2, 2))
 
-    def token(self, word: str) -> tuple[float, float, float]:
-        """Weight of the word itself, as a left neighbour and as a right neighbour."""
+    def plain_token(self, word: str) -> tuple[float, float, float]:
+        """Weight of a plain word itself, as a left neighbour and as a right neighbour."""
         w = self.flat
-        return sum([w[i] for i in feature_ids(word)]) + self.bias, w[neighbour_id(word, "<")], w[neighbour_id(word, ">")]
+        own, left, right = plain_ids(word)
+        return sum([w[i] for i in own]) + self.bias, w[left], w[right]
 
     @functools.cached_property
     def flat(self) -> list[float]:
@@ -179,7 +183,13 @@ def fit_crf(texts: list[list[str]], tags: list[np.ndarray], epochs: int = 12, wi
     """Maximise the conditional log-likelihood over windows: all that hold a toxic word and as
     many others, drawn at random; AdaGrad steps with a small decay."""
     rng, model = np.random.default_rng(seed), Crf()
-    memo = Memo(lambda w: (feature_ids(w), neighbour_id(w, "<"), neighbour_id(w, ">")))
+    of_plain = Memo(plain_ids, 50_000)
+
+    def ids_of(word: str) -> tuple[list[int], int, int]:
+        own, left, right = of_plain[plain(word)]
+        return [*own, CASE[word.isupper()]], left, right
+
+    memo = Memo(ids_of, 50_000)
     with_toxic, without = [], []
     for words, tag in zip(texts, tags):
         for s in range(0, len(words), window):
@@ -196,9 +206,9 @@ def fit_crf(texts: list[list[str]], tags: list[np.ndarray], epochs: int = 12, wi
                 f.append(memo[words[s + k + 1]][2])
             ids += f
             at += [k] * len(f)
-        gold = np.zeros(window)
+        gold = np.zeros(window, np.float32)
         gold[: len(part)] = tag[s : s + window]
-        windows.append((np.array(ids), np.array(at), gold, len(part)))
+        windows.append((np.array(ids, np.int32), np.array(at, np.int32), gold, len(part)))
     g2, b2, t2 = np.full(DIM, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(windows))
@@ -278,7 +288,8 @@ class Model:
 
 def fit(toxic: list[str], clean: list[str], share: float) -> Model:
     """``share``: of toxic rows among the training labels, to weigh the two samples."""
-    t, c = [split(x) for x in toxic], [split(x) for x in clean]
+    once: dict[str, str] = {}  # equal words are one object
+    t, c = ([[once.setdefault(w, w) for w in split(x)] for x in group] for group in (toxic, clean))
     if not t or not c:
         return Model(Crf(), np.array([0.0] * 4 + [math.log(share / (1 - share))]))
     marks = toxic_stems(t, c)
@@ -287,7 +298,8 @@ def fit(toxic: list[str], clean: list[str], share: float) -> Model:
     crf = fit_crf(t + c, tags)
     model = Model(crf, np.zeros(5))
     memo = Tokens(crf)
-    x = np.array([summary(p) for p in model.tag(t + c, memo)])
+    every = t + c
+    x = np.array([summary(p) for i in range(0, len(every), 100) for p in model.tag(every[i : i + 100], memo)])
     y = np.array([1.0] * len(t) + [0.0] * len(c))
     weight = np.where(y == 1, share * len(y) / len(t), (1 - share) * len(y) / len(c))
     model.calibration = fit_logistic(x, y, weight)
