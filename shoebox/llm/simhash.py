@@ -207,7 +207,8 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS)
     twice = repeated_ids(docs)
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
     return kept.join(twice, "doc_id", "left_anti").unionByName(once)
 
 
