@@ -142,9 +142,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = KMER, bits:
     paths = classes.where("c > 1").select("m", "s")
     whole = rows.select("doc_id", "th", "x", "n", "m", "s").join(paths, ["m", "s"]).select("doc_id", "th", "x", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     # edges that branch: windows of single runs against the other classes of the edge
-    branching = classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
+    branching = scratch.write(classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"))
     at = classes.join(branching, "m").select("m", "c", "doc_id", "th", "x", F.posexplode("windows").alias("i", "w"))
-    twice = at.groupBy("m", "w").agg(F.sum("c").alias("c"), F.count("*").alias("classes")).where("classes > 1").select("m", "w")
+    twice = scratch.write(at.groupBy("m", "w").agg(F.sum("c").alias("c"), F.count("*").alias("classes")).where("classes > 1").select("m", "w"))
     single = at.where("c = 1").join(twice, ["m", "w"]).groupBy("doc_id", "th", "x").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     found = whole.unionByName(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct("x", "mask")).alias("runs"))
     out = scratch.write(found)
