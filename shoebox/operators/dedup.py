@@ -48,8 +48,13 @@ def components(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSI
     """(item_id, component) of every item in a duplicate group; component is the least member id."""
     scratch = Scratch(items.sparkSession, "dedup")
     c = scratch.write(classes(items))
-    pairs = class_pairs(c, max_bits).where(F.col("similarity") >= least).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    found = connected_components(pairs, scratch).withColumnRenamed("node", "rep")
+    return _components(items, c, class_pairs(c, max_bits), least, scratch)
+
+
+def _components(items: DataFrame, c: DataFrame, pairs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """``components`` from classes and their pairs."""
+    links = pairs.where(F.col("similarity") >= least).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    found = connected_components(links, scratch).withColumnRenamed("node", "rep")
     own = c.where((F.col("n") > 1) & (norm("v") > 0) & F.lit(least <= 1)).select("rep", F.lit(True).alias("copies"))
     linked = c.join(found, "rep", "left").join(own, "rep", "left")
     # a class whose copies don't confirm each other still has them join through another class
@@ -99,12 +104,13 @@ def stats(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSINE) -
     """One row: scanned, pairs_checked, pairs_confirmed, groups, confirmed_duplicates, masters, derivatives."""
     scratch = Scratch(items.sparkSession, "stats")
     c = scratch.write(classes(items))
-    pairs = class_pairs(c, max_bits).select("n", "similarity")
+    near = scratch.write(class_pairs(c, max_bits))
+    pairs = near.select("n", "similarity")
     within = c.where("n > 1").select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"), cosine("v", "v").alias("similarity"))
     tally = pairs.unionByName(within).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("pairs_checked"), F.coalesce(F.sum(F.when(F.col("similarity") >= least, F.col("n"))), F.lit(0)).alias("pairs_confirmed")
     )
-    found = components(items, max_bits, least).agg(F.count("*").alias("confirmed_duplicates"), F.countDistinct("component").alias("groups"))
+    found = _components(items, c, near, least, scratch).agg(F.count("*").alias("confirmed_duplicates"), F.countDistinct("component").alias("groups"))
     out = items.agg(F.count("*").alias("scanned")).crossJoin(tally).crossJoin(found)
     return out.select("scanned", "pairs_checked", "pairs_confirmed", "groups", "confirmed_duplicates", F.col("groups").alias("masters"), (F.col("confirmed_duplicates") - F.col("groups")).alias("derivatives"))
 

@@ -61,13 +61,13 @@ def test_components(spark):
 # --- duplicates ---
 
 
-@pytest.mark.parametrize("bits", [10, 3, 0])
-def test_near_hashes(spark, bits):
+@pytest.mark.parametrize("bits, most", [(10, 1), (10, 2), (10, None), (3, 1), (0, 1)])
+def test_near_hashes(spark, bits, most):
     rng = random.Random(bits)
     base = [rng.getrandbits(64) for _ in range(60)]
     hs = {h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(13))) for h in base for _ in range(4)} | {0, (1 << 64) - 1}
     hs = sorted(h - (1 << 64) if h >> 63 else h for h in hs)
-    got = {tuple(r) for r in hamming.near_hashes(spark.createDataFrame([(h,) for h in hs], "h long"), bits).collect()}
+    got = {tuple(r) for r in hamming.near_hashes(spark.createDataFrame([(h,) for h in hs], "h long"), bits, most).collect()}
     want = {(a, b, n) for a, b in itertools.combinations(hs, 2) if (n := ((a ^ b) & (1 << 64) - 1).bit_count()) <= bits}
     assert got == want
 
