@@ -6,12 +6,16 @@ passages give equal chunks wherever they stand.
 
 1. Chunk digests of all documents are counted by Spark (no bytes move). The repeated digests set
    bits in a filter of a *fixed* size (``FILTER_BITS``), the only thing that is broadcast.
-2. A second scan cuts again. A file none of whose chunks may be shared is read back from its own
-   chunk list at once. Otherwise its shared chunks go to the chunk store, and its chunk list and
-   own chunks to the parts table. A full filter only sends more files this way, never fewer.
-3. Parts join the store (one row per digest) on the digest, are ordered per file, and the file is
-   rebuilt, checked against its own SHA-256 and measured. Bytes move only for files with shared
-   chunks; equal files are rebuilt once.
+2. A second scan cuts again and writes, for every document, its ordered chunk list and the chunks
+   that are its own. Chunks that may be shared are written apart and brought to one row per digest.
+   Own and shared chunks together are the chunk store. A full filter only sends more chunks the
+   second way, never fewer.
+3. Every file is rebuilt from the written tables, checked against the digest written with its
+   list, and measured. A file of own chunks only is read back as it was written;
+   the lists of the others join the store on the digest and are ordered per file, equal files once.
+
+``media_store`` gives the result columns, the lists and the chunk store; all are written tables, or
+views of them, in the shared folder.
 
 Defined cases: a null text is empty (one block of 64 zeros); results depend only on the text, so
 repeated rows and equal texts have equal values; only ``doc_id`` and ``text`` are read; an empty
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +40,9 @@ WIDTH, MIN_CHUNK, MASK_BITS, MAX_CHUNK, FILTER_BITS = 64, 512, 10, 8192, 1 << 26
 #: Gear values: one pseudo-random number for each byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
-RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-RESULT_TYPE = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+RESULT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT_FIELDS = RESULT.replace(" ", ": ").replace(",:", ",")
+RESULT_TYPE = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -94,11 +100,11 @@ def feature(payload: bytes) -> str:
     return f"mean={x.mean():.4f};dev={x.std():.4f};hash={bits}"
 
 
-def read_back(media: bytes, n_bytes: int) -> dict:
+def read_back(media: bytes) -> dict:
     """Result columns of the stored bytes."""
     payload = from_media(media)
     return {
-        "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-WIDTH:]),
+        "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-WIDTH:]),
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(payload),
     }
 
@@ -126,53 +132,58 @@ def digest_filter(repeated: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-STORED = f"kind string, doc_id {{id}}, p1 long, p2 long, n_bytes long, idx int, d1 long, d2 long, bytes binary, result struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>"
+LIST = "array<struct<d1: bigint, d2: bigint>>"
+LIST_TYPE = pa.list_(pa.struct([("d1", pa.int64()), ("d2", pa.int64())]))
+OWN_TYPE = pa.list_(pa.struct([("idx", pa.int32()), ("bytes", pa.binary())]))
+STORED = f"kind string, doc_id {{id}}, n_bytes long, p1 long, p2 long, whole boolean, list {LIST}, own array<struct<idx: int, bytes: binary>>, d1 long, d2 long, bytes binary"
+
+
+class Stored(NamedTuple):
+    """``columns`` (doc_id, result columns, chunk_list); ``lists`` (doc_id, n_bytes, p1, p2, list) of every
+    document, (p1, p2) being the digest of its file; ``chunks`` (d1, d2, bytes), one row per digest."""
+
+    columns: DataFrame
+    lists: DataFrame
+    chunks: DataFrame
 
 
 def store(docs: DataFrame, shared, bits: int) -> DataFrame:
-    """Rows by kind: ``done`` (a result), ``doc`` (a document whose file is rebuilt later), ``part``
-    (a chunk of such a file, with bytes unless shared) and ``chunk`` (bytes of a shared digest)."""
+    """Rows by kind: ``doc`` (a document's chunk list and its own chunks; ``whole`` if all are) and
+    ``chunk`` (bytes of a digest that may be shared)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        words, sent, filed = shared.value, set(), set()
+        words, sent = shared.value, set()
 
         def maybe(ds: list[tuple[int, int]]) -> np.ndarray:
             at = np.array([d[0] for d in ds], np.int64) & (bits - 1)
             return (words[at >> 6] >> (at & 63)) & 1 == 1
 
         def apply(batch, texts):
-            cols: dict[str, list] = {k: [] for k in ("kind", "row", "p1", "p2", "n_bytes", "idx", "d1", "d2", "bytes", "result")}
+            cols: dict[str, list] = {k: [] for k in ("kind", "row", "n_bytes", "p1", "p2", "whole", "list", "own", "d1", "d2", "bytes")}
 
-            def put(kind, row=None, p=(None, None), n=None, idx=None, d=(None, None), data=None, result=None):
-                for k, v in zip(cols, (kind, row, *p, n, idx, *d, data, result)):
+            def put(kind, row=None, n=None, p=(None, None), whole=None, chunks=None, own=None, d=(None, None), data=None):
+                for k, v in zip(cols, (kind, row, n, *p, whole, chunks, own, *d, data)):
                     cols[k].append(v)
 
             for row, text in enumerate(texts):
                 payload, n = payload_of(text)
                 media = to_media(payload)
                 parts, ds = chunk_list(media)
-                hits = maybe(ds)
-                if not hits.any():
-                    put("done", row, result=read_back(b"".join(parts), n))
-                    continue
-                p = digest(media)
-                put("doc", row, p, n)
-                if p in filed:
-                    continue
-                filed.add(p)
-                for i, (d, data, hit) in enumerate(zip(ds, parts, hits.tolist())):
-                    put("part", None, p, n, i, d, None if hit else data)
+                hits = maybe(ds).tolist()
+                own = [{"idx": i, "bytes": data} for i, (data, hit) in enumerate(zip(parts, hits)) if not hit]
+                put("doc", row, n, digest(media), not any(hits), [{"d1": x, "d2": y} for x, y in ds], own)
+                for d, data, hit in zip(ds, parts, hits):
                     if hit and d not in sent:
                         sent.add(d)
                         put("chunk", d=d, data=data)
-                if len(sent) > 200_000 or len(filed) > 200_000:
+                if len(sent) > 200_000:
                     sent.clear()
-                    filed.clear()
             ids = batch.column("doc_id").take(pa.array(cols["row"], pa.int32()))
-            arrays = [pa.array(cols["kind"], pa.string()), ids, *(pa.array(cols[k], pa.int64()) for k in ("p1", "p2", "n_bytes")), pa.array(cols["idx"], pa.int32())]
-            arrays += [*(pa.array(cols[k], pa.int64()) for k in ("d1", "d2")), pa.array(cols["bytes"], pa.binary()), pa.array(cols["result"], RESULT_TYPE)]
-            return pa.RecordBatch.from_arrays(arrays, ["kind", "doc_id", "p1", "p2", "n_bytes", "idx", "d1", "d2", "bytes", "result"])
+            long = {k: pa.array(cols[k], pa.int64()) for k in ("n_bytes", "p1", "p2", "d1", "d2")}
+            arrays = [pa.array(cols["kind"], pa.string()), ids, long["n_bytes"], long["p1"], long["p2"], pa.array(cols["whole"], pa.bool_())]
+            arrays += [pa.array(cols["list"], LIST_TYPE), pa.array(cols["own"], OWN_TYPE), long["d1"], long["d2"], pa.array(cols["bytes"], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["kind", "doc_id", *list(cols)[2:]])
 
         return apply
 
@@ -180,39 +191,60 @@ def store(docs: DataFrame, shared, bits: int) -> DataFrame:
 
 
 def rebuild(files: DataFrame) -> DataFrame:
-    """(p1, p2, result) from (p1, p2, n_bytes, parts array<struct<idx, bytes>>) in order."""
+    """``files`` (p1, p2, parts array<struct<idx, bytes>> in order, n_chunks, other columns) with a column ``result``
+    instead of ``parts``, read back from the joined parts."""
+    keep = [c for c in files.columns if c != "parts"]
 
     def run(batches):
         for batch in batches:
-            p1, p2, n, parts = (batch.column(c) for c in ("p1", "p2", "n_bytes", "parts"))
+            p1, p2, n, parts = (batch.column(c) for c in ("p1", "p2", "n_chunks", "parts"))
             results = []
             for i in range(batch.num_rows):
                 got = parts[i].as_py()
                 media = b"".join(x["bytes"] for x in got)
-                if [x["idx"] for x in got] != list(range(len(got))) or digest(media) != (p1[i].as_py(), p2[i].as_py()):
+                if [x["idx"] for x in got] != list(range(n[i].as_py())) or digest(media) != (p1[i].as_py(), p2[i].as_py()):
                     raise ValueError("a rebuilt file differs from the stored one")
-                results.append(read_back(media, n[i].as_py()))
-            yield pa.RecordBatch.from_arrays([p1, p2, pa.array(results, RESULT_TYPE)], ["p1", "p2", "result"])
+                results.append(read_back(media))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(results, RESULT_TYPE)], [*keep, "result"])
 
-    return files.mapInArrow(run, f"p1 long, p2 long, result struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>")
+    kinds = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in keep)
+    return files.mapInArrow(run, f"{kinds}, result struct<{RESULT_FIELDS}>")
 
 
-def media_columns(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, result columns) of every document, read back from its stored chunks."""
+def media_store(docs: DataFrame, bits: int = FILTER_BITS) -> Stored:
+    """Chunk lists and chunks of every document, written, and the result columns read back from them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "media")
     repeated = chunk_digests(docs).groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1")
     shared = spark.sparkContext.broadcast(digest_filter(repeated, bits))
     stored = scratch.write(store(docs, shared, bits))
-    chunks = scratch.write(stored.where("kind = 'chunk'").groupBy("d1", "d2").agg(F.max("bytes").alias("stored")))
-    parts = stored.where("kind = 'part'")
-    lists = parts.where("bytes is null").select("p1", "p2", "n_bytes", "idx", "d1", "d2").distinct()
-    fetched = lists.join(chunks, ["d1", "d2"]).select("p1", "p2", "n_bytes", "idx", F.col("stored").alias("bytes"))
-    own = parts.where("bytes is not null").select("p1", "p2", "n_bytes", "idx", "bytes").dropDuplicates(["p1", "p2", "idx"])
-    files = fetched.unionByName(own).groupBy("p1", "p2").agg(F.max("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("idx", "bytes"))).alias("parts"))
-    results = rebuild(files)
-    later = stored.where("kind = 'doc'").select("doc_id", "p1", "p2").join(results, ["p1", "p2"]).select("doc_id", "result.*")
-    return stored.where("kind = 'done'").select("doc_id", "result.*").unionByName(later)
+    shared_chunks = scratch.write(stored.where("kind = 'chunk'").groupBy("d1", "d2").agg(F.max("bytes").alias("bytes")))
+    return read_store(stored, shared_chunks)
+
+
+def read_store(stored: DataFrame, shared_chunks: DataFrame) -> Stored:
+    """The operator's output from the two written tables, and from nothing else."""
+    rows = stored.where("kind = 'doc'")
+    whole = rows.where("whole").select("doc_id", "n_bytes", "p1", "p2", F.size("list").alias("n_chunks"), "list", F.col("own").alias("parts"))
+    mixed = rows.where("not whole")
+    at = mixed.select("p1", "p2", F.size("list").alias("n_chunks"), F.transform("own", lambda x: x["idx"]).alias("has"), F.posexplode("list").alias("idx", "d"))
+    at = at.where("not array_contains(has, idx)").select("p1", "p2", "n_chunks", "idx", "d.d1", "d.d2").distinct()
+    fetched = at.join(shared_chunks, ["d1", "d2"]).select("p1", "p2", "n_chunks", "idx", "bytes")
+    own = mixed.select("p1", "p2", F.size("list").alias("n_chunks"), F.explode("own").alias("x")).select("p1", "p2", "n_chunks", "x.idx", "x.bytes")
+    files = fetched.unionByName(own).groupBy("p1", "p2").agg(F.max("n_chunks").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("idx", "bytes"))).alias("parts"))
+    # left: a file without a result, its chunks lost, is an error and not a missing row
+    later = mixed.select("doc_id", "n_bytes", "p1", "p2", "list").join(rebuild(files), ["p1", "p2"], "left")
+    found = F.when(F.col("result").isNotNull(), F.col("result")).otherwise(F.raise_error(F.lit("a stored file can't be rebuilt")).cast(f"struct<{RESULT_FIELDS}>"))
+    later = later.withColumn("result", found)
+    columns = rebuild(whole).select("doc_id", "n_bytes", "result.*", F.col("list").alias("chunk_list"))
+    columns = columns.unionByName(later.select("doc_id", "n_bytes", "result.*", F.col("list").alias("chunk_list")))
+    chunks = rows.select("list", F.explode("own").alias("x")).select(F.get("list", F.col("x.idx")).alias("d"), F.col("x.bytes").alias("bytes")).select("d.d1", "d.d2", "bytes")
+    return Stored(columns, rows.select("doc_id", "n_bytes", "p1", "p2", "list"), chunks.unionByName(shared_chunks))
+
+
+def media_columns(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, result columns, chunk_list) of every document, read back from its stored chunks."""
+    return media_store(docs, bits).columns
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,35 @@ def test_media(spark, table, docs, empty, bits):
     assert media.media_columns(empty, bits).count() == 0
 
 
+def rebuilt(stored):
+    """Files joined from lists and chunks alone, by document."""
+    chunks = {(r.d1, r.d2): bytes(r.bytes) for r in stored.chunks.collect()}
+    assert len(chunks) == stored.chunks.count()
+    return sorted((str(r.doc_id), r.n_bytes, b"".join(chunks[d.d1, d.d2] for d in r.list)) for r in stored.lists.collect())
+
+
+@pytest.mark.parametrize("bits", [media.FILTER_BITS, 64])
+def test_every_document_is_stored(spark, table, docs, bits):
+    texts = [*docs, (70_001, "padded"), (70_002, "padded\0")]
+    stored = media.media_store(frame(spark, texts), bits)
+    assert rebuilt(stored) == sorted((str(i), brute.payload(t)[1], media.to_media(brute.payload(t)[0])) for i, t in texts)
+    lists = {(str(r.doc_id), r.n_bytes): r.list for r in stored.lists.collect()}
+    assert all(lists[str(r.doc_id), r.n_bytes] == r.chunk_list for r in stored.columns.collect())
+
+
+@pytest.mark.parametrize("texts", [["only one " + "x" * 999], ["twice the same " * 99] * 2])
+def test_results_come_from_the_written_store(spark, texts):
+    df = frame(spark, list(enumerate(texts)))
+    stored = media.store(df, spark.sparkContext.broadcast(media.digest_filter(media.chunk_digests(df).groupBy("d1", "d2").count().where("count > 1"))), media.FILTER_BITS)
+    shared = stored.where("kind = 'chunk'").select("d1", "d2", "bytes").distinct()
+    assert media.read_store(stored, shared).columns.count() == len(texts)
+    spoilt = F.encode(F.lit("spoilt"), "utf-8")
+    bad = stored.withColumn("own", F.transform("own", lambda x: x.withField("bytes", spoilt)))
+    for rows, chunks in ((bad, shared.withColumn("bytes", spoilt)), (bad, shared.limit(0))):
+        with pytest.raises(Exception, match="a rebuilt file differs|can't be rebuilt"):
+            media.read_store(rows, chunks).columns.collect()
+
+
 def test_equal_texts_have_equal_features(spark, docs):
     rows = media.media_columns(frame(spark, docs + docs)).collect()
     by = {}
