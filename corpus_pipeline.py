@@ -27,8 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id, and of exact repeats of
-    a row one. Documents without an id stay."""
+    """One document of each group of near duplicates: the one of least id. Of a group's documents
+    without an id one stays too."""
     return simhash.keep_first(docs.select(*COLUMNS))
 
 

@@ -29,6 +29,14 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus
 
 
+def row_digest(docs: DataFrame) -> list[Column]:
+    """128 bits of a whole row, never null, as columns ``_r1`` and ``_r2``: rows that share an id, or have
+    none, are told apart. Hashes skip nulls, so which columns are null is hashed as well."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [*cols, *(c.isNull() for c in cols)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "_r1"), (2, "_r2"))]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; null counts as empty."""
     return text.encode().split() if text else []

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import documents, map_texts, table
+from shoebox.llm.common import documents, map_texts, row_digest, table
 
 WORD, SHINGLE, SIMILAR, K1, B, BLOCK, MAX_BLOCKS, ITEMS, SLAB = re.compile(r"[^\W_]+"), 5, 0.8, 1.2, 0.5, 4, 64, 2_000, 20_000
 
@@ -211,9 +211,11 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, bl
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` without the documents that hold a test item. Only ids of those are joined."""
-    bad = contaminated(docs, items, similar).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the documents that hold a test item. Only digests of those rows are joined, so
+    other rows under the same id, or without one, stay."""
+    keyed = docs.select("*", *row_digest(docs))
+    bad = contaminated(keyed.select(F.struct("_r1", "_r2").alias("doc_id"), "text"), items, similar).select("doc_id.*").distinct()
+    return keyed.join(bad, ["_r1", "_r2"], "left_anti").select(docs.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import documents, lower_words, map_texts
+from shoebox.llm.common import documents, lower_words, map_texts, row_digest
 from shoebox.plans.components import connected_components
 from shoebox.plans.tables import Scratch
 
@@ -56,18 +56,18 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, width: int = SHINGLE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, fp): fp is the fingerprint's bits as a signed long."""
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def make():
         def apply(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             fps = np.array([fingerprint(x, width) for x in texts], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(fps)], [*keys, "fp"])
 
         return apply
 
-    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {kind}, fp long")
+    return map_texts(docs.select(*keys, "text"), make, f"{kinds}, fp long")
 
 
 def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
@@ -199,23 +199,27 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: all rows but those of a larger id than its
-    component's, and of rows with one id one. Only ids are joined; rows without an id stay."""
-    near = near_duplicates(docs, width, max_bits)
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = repeated_ids(docs)
+    """``docs`` with one row of each component: the one of least id, and of least digest where ids are
+    equal. Rows without an id are chosen among themselves, one of each component. Decisions are by
+    row digest, never by id alone, and only digests are joined."""
+    scratch = Scratch(docs.sparkSession, "first")
+    keyed = docs.select("*", *row_digest(docs))
+    rows = scratch.write(fingerprints(keyed, width, ("doc_id", "_r1", "_r2")).withColumn("unnamed", F.col("doc_id").isNull()))
+    row = F.struct("doc_id", "_r1", "_r2")
+    least = scratch.write(rows.groupBy("fp", "unnamed").agg(F.min(row).alias("least")))
+    near = near_components(least.select("fp").distinct(), scratch, max_bits)
+    named = least.join(near, "fp", "left").select("fp", "unnamed", "least", F.coalesce("component", "fp").alias("component"))
+    first = named.groupBy("component", "unnamed").agg(F.min("least").alias("first"))
+    first = named.select("fp", "unnamed", "component").join(first, ["component", "unnamed"]).select("fp", "unnamed", "first._r1", "first._r2")
+    at = rows.join(first.toDF("fp", "unnamed", "f1", "f2"), ["fp", "unnamed"])
+    gone = at.where("_r1 <> f1 or _r2 <> f2").select("_r1", "_r2").distinct()
+    kept = keyed.join(gone, ["_r1", "_r2"], "left_anti")
+    twice = scratch.write(rows.groupBy("_r1", "_r2").agg(F.count("*").alias("n")).where("n > 1").select("_r1", "_r2"))
     if twice.isEmpty():
-        return kept
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once)
-
-
-def repeated_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id) that stand in several rows, written once."""
-    counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return Scratch(docs.sparkSession, "repeated").write(counts.where("n > 1").select("doc_id"))
+        return kept.select(docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(twice, ["_r1", "_r2"], "left_semi").groupBy("_r1", "_r2").agg(F.first(whole).alias("_row")).select("_row.*")
+    return kept.join(twice, ["_r1", "_r2"], "left_anti").select(docs.columns).unionByName(once)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

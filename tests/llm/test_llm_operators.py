@@ -178,6 +178,14 @@ def test_keep_first(spark):
     assert kept == order([(3, "A b c d e"), (9, "quite another text of words"), (None, "a b c d e"), (7, None)])
 
 
+def test_keep_first_of_clashing_and_null_ids(spark):
+    docs = [(1, "one text of some words"), (2, "one text of some words"), (2, "unrelated talk about other things"), (3, "unrelated talk about other things"), (4, "first of four"), (4, "a second text here")]
+    docs += [(None, "nameless words that repeat"), (None, "nameless words that repeat"), (None, "nameless and alone it stands"), (None, None), (None, "")]
+    kept = [(r.doc_id, r.text or "") for r in simhash.keep_first(frame(spark, docs)).collect()]
+    want = [(1, "one text of some words"), (2, "unrelated talk about other things"), (4, "first of four"), (4, "a second text here"), (None, "nameless words that repeat"), (None, "nameless and alone it stands"), (None, "")]
+    assert order(kept) == order(want)
+
+
 # --- 4: substrings ---
 
 
@@ -298,6 +306,14 @@ def test_decontaminate(spark, table, docs, empty):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
 
 
+def test_drop_contaminated_tells_rows_apart(spark):
+    item = "what is the tallest hill of the northern county and who climbed it first"
+    docs = [(None, "clean words only"), (None, item), (None, "another clean one"), (5, "before " + item), (5, "clean text under a shared id"), (6, None)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(frame(spark, docs), items)
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order(d for d in docs if item not in (d[1] or ""))
+
+
 def test_wand_finds_all():
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(200)]
