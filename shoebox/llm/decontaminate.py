@@ -1,12 +1,13 @@
 """Benchmark decontamination: BM25 with block-max WAND, then word-shingle overlap.
 
 The test items are the collection: an inverted index with BM25 impacts, postings cut into aligned
-blocks of items with each term's largest impact in the block. Every passage of every training document is a query (windows of twice the
-longest item, half overlapping, so an item's length of text always falls into one whole). For each
-item there is a threshold that no passage which holds ``SIMILAR`` of its shingles can miss: the item's
-summed impacts without its heaviest words that so large an overlap may lack. A block is skipped for a
-passage whose block maxima don't add up to the block's least threshold (sums for all blocks at once, over
-half-passages); in the others WAND walks the postings from pivot to pivot.
+blocks of items with each term's largest impact in the block. Every training document is a query of the
+distinct words that stand in a shingle of some test item, wherever in the document (shingles are looked up
+by a hash of term numbers; a clash adds words, none is lost). For each item there is a threshold that no
+document which holds ``SIMILAR`` of its shingles can miss: the item's summed impacts without its heaviest
+words that so large an overlap may lack. A block is skipped for a document whose block maxima don't add up
+to the block's least threshold; in the others WAND walks the postings from pivot to pivot. The reported
+score is that of the best passage (windows of twice the longest item, half overlapping).
 
 Retrieved pairs are verified on the whole document: the share of the item's five-word shingles
 that the document has, over the item and over its question and answer apart (the answer is the
@@ -36,7 +37,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.llm.common import documents, map_texts, row_digest, table
 
-WORD, SHINGLE, SIMILAR, K1, B, BLOCK, MAX_BLOCKS, ITEMS, SLAB = re.compile(r"[^\W_]+"), 5, 0.8, 1.2, 0.5, 4, 64, 2_000, 20_000
+WORD, SHINGLE, SIMILAR, K1, B, BLOCK, MAX_BLOCKS, ITEMS = re.compile(r"[^\W_]+"), 5, 0.8, 1.2, 0.5, 4, 64, 2_000
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -75,14 +78,17 @@ class Index:
         self.longest = max(map(len, self.words), default=1)
         mean = sum(map(len, self.words)) / max(1, n)
         posted: dict[str, list[tuple[int, float]]] = {}
-        self.least = []
+        self.least, self.impacts = [], []
         for i, words in enumerate(self.words):
             impacts = {}
             for t, tf in Counter(words).items():
                 idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
                 impacts[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
                 posted.setdefault(t, []).append((i, impacts[t]))
+            self.impacts.append(impacts)
             lacking = math.floor((1 - SIMILAR) * len(self.shingles[i]) + 1e-9)
+            if len(self.shingles[i]) < len(words) - SHINGLE + 1:  # a repeated shingle that lacks may take its first and its last word
+                lacking *= 2
             weights = sorted(impacts.values())
             self.least.append(max(1e-9, sum(weights[: max(1, len(weights) - lacking)]) - 1e-9))
         size = max(BLOCK, -(-n // MAX_BLOCKS))
@@ -100,6 +106,11 @@ class Index:
         for b, (terms, _) in enumerate(self.blocks):
             for t, (_, _, x) in terms.items():
                 self.most[self.term[t], b] = x
+        by_width: dict[int, list[np.ndarray]] = {}
+        for words in self.words:
+            width = min(SHINGLE, len(words))
+            by_width.setdefault(width, []).append(self.hashes(np.array([self.term[t] for t in words]), width))
+        self.hashed = {w: np.unique(np.concatenate(x)) for w, x in by_width.items()}
         self.floors = np.array([f for _, f in self.blocks] or [math.inf]) - 1e-6
 
     def search(self, query: set[str], blocks=None) -> list[tuple[int, float]]:
@@ -134,29 +145,49 @@ class Index:
                 lists = [c for c in lists if c[0] < len(c[1])]
         return out
 
+    def hashes(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """A number for each run of ``width`` term numbers; zero where one is no term."""
+        n = max(0, len(rows) - width + 1)
+        out, known = np.zeros(n, np.uint64), np.ones(n, bool)
+        for j in range(width):
+            part = rows[j : j + n]
+            known &= part > 0
+            out = (out * MIX) ^ part.astype(np.uint64)
+        out = (out * MIX) | np.uint64(1)
+        out[~known] = 0
+        return out
+
+    def query(self, words: list[str], rows: np.ndarray) -> set[str]:
+        """The distinct words of a document that stand in a shingle of an item."""
+        covered = np.zeros(len(words) + 1, np.int64)
+        for width, known in self.hashed.items():
+            found = self.hashes(rows, width)
+            at = np.flatnonzero(found)
+            k = np.minimum(np.searchsorted(known, found[at]), len(known) - 1)
+            at = at[known[k] == found[at]]
+            covered[at] += 1  # at one width, starts differ
+            covered[at + width] -= 1
+        return {words[j] for j in np.flatnonzero(np.cumsum(covered[:-1])).tolist()}
+
+    def score(self, item: int, passages: list[set[str]]) -> float:
+        """BM25 of the item for the best passage."""
+        impacts = self.impacts[item]
+        return max(sum(x for t, x in impacts.items() if t in p) for p in passages)
+
     def overlaps(self, text: str) -> list[tuple[int, float, float, float, float]]:
         """(item, BM25, overlap, question overlap, answer overlap) of the items found in the text."""
         words = terms_of(text)
         if not words or not self.ids:
             return []
-        rows = np.fromiter(map(self.term.get, words, repeat(0)), np.int64, len(words))
-        starts = np.arange(0, len(words), self.longest)
-        known = np.flatnonzero(rows)
-        half = np.zeros((len(starts), self.most.shape[1]))
-        for lo in range(0, len(known), SLAB):  # distinct words of each half; a half cut by a slab counts some twice
-            at = known[lo : lo + SLAB]
-            pairs = np.unique(at // self.longest * len(self.most) + rows[at])
-            of, first = np.unique(pairs // len(self.most), return_index=True)
-            half[of] += np.add.reduceat(self.most[pairs % len(self.most)], first, axis=0)
-        bound = half if len(half) == 1 else half[:-1] + half[1:]
-        scores: dict[int, float] = {}
-        found = bound >= self.floors
-        for k in np.flatnonzero(found.any(axis=1)).tolist():
-            query = set(words[starts[k] : starts[k] + 2 * self.longest])
-            for i, score in self.search(query, np.flatnonzero(found[k]).tolist()):
-                scores[i] = max(score, scores.get(i, 0.0))
-        if not scores:
+        query = self.query(words, np.fromiter(map(self.term.get, words, repeat(0)), np.int64, len(words)))
+        if not query:
+            return []
+        bound = self.most[[self.term[t] for t in query]].sum(axis=0)
+        items = [i for i, _ in self.search(query, np.flatnonzero(bound >= self.floors).tolist())]
+        if not items:
             return []
+        passages = [set(words[k : k + 2 * self.longest]) for k in range(0, max(1, len(words) - self.longest), self.longest)]
+        scores = {i: self.score(i, passages) for i in items}
         have: dict[int, set] = {}
         out = []
         for i, score in sorted(scores.items()):

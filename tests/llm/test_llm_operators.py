@@ -306,6 +306,24 @@ def test_decontaminate(spark, table, docs, empty):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
 
 
+def test_items_in_parts_are_found(spark):
+    """Two and three parts further apart than any passage, and a repeated phrase."""
+    rng = random.Random(9)
+    words = [f"q{k}" for k in range(36)]
+    phrase = ["again", "and", "again", "we", "say"]
+    rows = [(1, " ".join(words)), (2, " ".join(phrase * 3 + words[::-1][:20] + phrase * 2)), (3, "four words in all")]
+    gap = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    two = [t.split() for _, t in rows[:2]]
+    docs = [(k, " ".join(["x", *w[:cut]]) + " " + gap(500) + " " + " ".join(w[cut:]) + " end") for k, (w, cut) in enumerate((w, cut) for w in two for cut in (5, 18, 30))]
+    docs += [(50, " ".join(words[18:]) + " " + gap(3000) + " " + " ".join(words[:18])), (51, " ".join(words[:9]) + gap(300) + " ".join(words[9:])), (52, gap(50) + " four words in all"), (53, " ".join(words[::2]))]
+    want = brute.leaks(docs, rows)
+    assert {(1, 1), (50, 1), (52, 3)} <= want
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    for block in (1, 2_000):
+        got = decontaminate.contaminated(frame(spark, docs), items, block=block)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_drop_contaminated_tells_rows_apart(spark):
     item = "what is the tallest hill of the northern county and who climbed it first"
     docs = [(None, "clean words only"), (None, item), (None, "another clean one"), (5, "before " + item), (5, "clean text under a shared id"), (6, None)]
