@@ -5,15 +5,17 @@ A text is a sequence of words (lower-cased A-Z, cut at ASCII white space) and on
 word, so the lattice of a text falls apart into one lattice a word. Each lattice is summed
 in log space by forward recursion. Characters that the vocabulary lacks are spelled by its byte
 pieces. The pieces' weights start from the vocabulary's own scores (a rank r has weight
-1 / (r + OFFSET)) and take one step of expectation-maximisation over all training words, with the end as a
-further piece; they sum to one. A word type met in training is one more segmentation, the word
-whole: with c of N training tokens and V training types its probability is (c + V * lattice) / (N + V)
-(Witten-Bell), so the scores of all texts sum to one at most.
+1 / (r + OFFSET)) and are re-estimated by expectation-maximisation over all training words, with the end
+as a further piece, until a round gains less than ``GAIN`` of the log-likelihood. They sum to
+one, and so do the lattices of all words: a text's score is the sum over its words' lattices and the end, and nothing else.
 
 Spark side, per word type and not per token:
 1. count words (map-side in Python, then a Spark aggregation) over all documents;
-2. one pass over the word types for expected piece counts, one for each type's log probability;
-3. sums per document: the ``HEAD`` most frequent types are broadcast (a fixed number, short ones),
+2. write the edges of all lattices once, words of one length side by side in blocks, with the edges
+   of one (end, length) together, so that a round of expectations is a few array operations for
+   each of those; words longer than ``LONG`` are walked one by one;
+3. one pass over the blocks a round, expected counts summed by Spark; a last pass for log probabilities;
+4. sums per document: the ``HEAD`` most frequent types are broadcast (a fixed number, short ones),
    all others are joined on the word. Frequent words are in the head, so the join has no hot key.
 
 The base score (add-one smoothed word counts) takes the same two ways.
@@ -39,6 +41,10 @@ from shoebox.llm.common import documents, id_remainder, lower_words, map_texts
 from shoebox.plans.tables import Scratch
 
 HEAD, HEAD_BYTES, OFFSET, FLUSH, MODULUS, HELD_OUT = 150_000, 40, 10.0, 150_000, 7, 2
+#: EM ends when a round gains less than this share of the log-likelihood; a corpus that needs more rounds than ROUNDS is an error.
+GAIN, ROUNDS, PRIOR = 1e-4, 60, 1e-3
+#: Words of a block, and the longest word (in code points, with the mark) that goes to one.
+BLOCK, LONG = 4096, 96
 MARK = "▁"
 
 
@@ -52,78 +58,127 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
         self.end = self.size
-        self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.bytes = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         usable = [i for i in range(self.size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        if weights is None:
-            weights = np.zeros(self.size + 1)
-            rank = np.array([-sp.get_score(i) for i in usable])
-            weights[usable] = 1 / (np.maximum(rank, 0) + OFFSET)
-            weights[self.bytes] = 1 / (self.size + OFFSET)
-            weights[self.end] = 1 / OFFSET
-            weights /= weights.sum()
-        self.weights = weights
-        with np.errstate(divide="ignore"):
-            self.logs = np.log(weights).tolist()
+        self.first = np.zeros(self.size + 1)
+        rank = np.array([-sp.get_score(i) for i in usable])
+        self.first[usable] = 1 / (np.maximum(rank, 0) + OFFSET)
+        self.first[self.bytes] = 1 / (self.size + OFFSET)
+        self.first[self.end] = 1 / OFFSET
+        self.first /= self.first.sum()
         self.found = ahocorasick.Automaton()
-        self.single = {}
+        self.single = set()
         for i in usable:
             p = sp.id_to_piece(i)
             if MARK not in p[1:]:
-                self.found.add_word(p, (len(p), i, self.logs[i]))
+                self.found.add_word(p, (len(p), i))
                 if len(p) == 1:
-                    self.single[p] = i
+                    self.single.add(p)
         self.found.make_automaton()
+        self.use(self.first if weights is None else weights)
+
+    def use(self, weights: np.ndarray) -> Lattice:
+        self.weights = weights
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(weights)
+        return self
 
-    def edges(self, word: str) -> list[tuple[int, int, float, int]]:
-        """(start, end, log weight, piece) by end; a character without a piece of its own has an edge of
-        byte pieces, with piece -1."""
-        out = [(e + 1 - n, e + 1, lw, i) for e, (n, i, lw) in self.found.iter(word)]
+    def edges(self, word: str) -> list[tuple[int, int, int]]:
+        """(end, length, piece) by end; a character without a piece of its own has an edge of byte pieces,
+        whose number is below zero: -1 less its code point."""
+        out = [(e + 1, n, i) for e, (n, i) in self.found.iter(word)]
         missing = [k for k, c in enumerate(word) if c not in self.single]
         if missing:
-            out += [(k, k + 1, sum(self.logs[self.bytes[b]] for b in word[k].encode()), -1) for k in missing]
-            out.sort(key=lambda x: x[1])
+            out += [(k + 1, 1, -1 - ord(word[k])) for k in missing]
+            out.sort()
         return out
 
-    def forward(self, edges: list, n: int) -> list[float]:
-        alpha = [0.0] + [-math.inf] * n
-        exp, log1p = math.exp, math.log1p
-        for s, e, lw, _ in edges:
-            x, y = alpha[s] + lw, alpha[e]
-            if x > y:
-                x, y = y, x
-            alpha[e] = y if x == -math.inf else y + log1p(exp(x - y))
-        return alpha
+    def spelled(self, piece: int) -> np.ndarray:
+        """The byte pieces of an edge below zero."""
+        return self.bytes[np.frombuffer(chr(-1 - piece).encode(), np.uint8)]
+
+    def edge_logs(self, pieces: np.ndarray) -> np.ndarray:
+        out = self.logs[np.maximum(pieces, 0)]
+        odd = np.flatnonzero(pieces < 0)
+        if len(odd):
+            kinds, at = np.unique(pieces[odd], return_inverse=True)
+            out[odd] = np.array([self.logs[self.spelled(k)].sum() for k in kinds.tolist()])[at]
+        return out
+
+    def put(self, pieces: np.ndarray, counts: np.ndarray, into: np.ndarray) -> None:
+        """Add expected counts of edges to those of pieces."""
+        plain = pieces >= 0
+        into += np.bincount(pieces[plain], counts[plain], minlength=len(into))
+        if not plain.all():
+            kinds, at = np.unique(pieces[~plain], return_inverse=True)
+            for k, x in zip(kinds.tolist(), np.bincount(at, counts[~plain]).tolist()):
+                np.add.at(into, self.spelled(k), x)
 
     def log_prob(self, word: bytes) -> float:
         """Natural log of the word's marginal probability."""
         w = MARK + word.decode("utf-8", "replace")
-        return self.forward(self.edges(w), len(w))[-1]
+        block = Block.of([self.edges(w)], len(w))
+        return float(block.forward(self.edge_logs(block.pieces))[-1, 0])
+
+
+class Block:
+    """The lattices of words of one length ``n``: edges by (end, length), ``sizes`` of each such group, the
+    ``words`` and ``pieces`` of its edges."""
+
+    def __init__(self, n: int, groups: np.ndarray, sizes: np.ndarray, words: np.ndarray, pieces: np.ndarray, count: int):
+        self.n, self.groups, self.words, self.pieces, self.count = n, groups.reshape(-1, 2), words, pieces, count
+        ends = np.cumsum(sizes).tolist()
+        self.parts = [(int(e), int(length), a, b) for (e, length), a, b in zip(self.groups, [0, *ends], ends)]
+
+    @staticmethod
+    def of(edges: list[list[tuple[int, int, int]]], n: int) -> Block:
+        every = np.array([(e, k, w, i) for w, es in enumerate(edges) for e, k, i in es], np.int32).reshape(-1, 4)
+        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+        key = every[:, 0].astype(np.int64) << 32 | every[:, 1]
+        _, first, sizes = np.unique(key, return_index=True, return_counts=True)
+        return Block(n, every[first, :2], sizes.astype(np.int32), every[:, 2].astype(np.uint16), np.ascontiguousarray(every[:, 3]), len(edges))
+
+    def row(self) -> dict:
+        sizes = np.array([b - a for _, _, a, b in self.parts], np.int32)
+        return {"n": self.n, "groups": self.groups.astype(np.int32).tobytes(), "sizes": sizes.tobytes(), "at": self.words.tobytes(), "pieces": self.pieces.tobytes()}
+
+    @staticmethod
+    def read(row: dict, count: int) -> Block:
+        i32 = lambda c: np.frombuffer(row[c], np.int32)
+        return Block(row["n"], i32("groups"), i32("sizes"), np.frombuffer(row["at"], np.uint16), i32("pieces"), count)
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """alpha[k, w]: log of the summed weights of all spellings of the first k characters of word w."""
+        alpha = np.full((self.n + 1, self.count), -np.inf)
+        alpha[0] = 0
+        for e, k, a, b in self.parts:
+            w = self.words[a:b]
+            alpha[e, w] = np.logaddexp(alpha[e, w], alpha[e - k, w] + logs[a:b])
+        return alpha
 
-    def expect(self, word: bytes, times: float, into: np.ndarray) -> None:
-        """Add ``times`` the expected piece counts of the word's segmentations."""
-        w = MARK + word.decode("utf-8", "replace")
-        n, edges = len(w), self.edges(w)
-        alpha = self.forward(edges, n)
-        beta = [-math.inf] * n + [0.0]
-        exp, log1p, total = math.exp, math.log1p, alpha[n]
-        edges.sort(key=lambda x: -x[0])
-        for s, e, lw, i in edges:
-            x, y = beta[e] + lw, beta[s]
-            share = alpha[s] + beta[e] + lw - total
-            if share > -40:
-                if i >= 0:
-                    into[i] += times * exp(share)
-                else:
-                    for b in w[s].encode():
-                        into[self.bytes[b]] += times * exp(share)
-            if x > y:
-                x, y = y, x
-            beta[s] = y if x == -math.inf else y + log1p(exp(x - y))
-
-
-@functools.lru_cache(2)
-def _lattice(path: str, raw: bytes | None) -> Lattice:
-    return Lattice(path, np.frombuffer(raw) if raw else None)
+    def backward(self, logs: np.ndarray) -> np.ndarray:
+        beta = np.full((self.n + 1, self.count), -np.inf)
+        beta[self.n] = 0
+        for e, k, a, b in reversed(self.parts):
+            w = self.words[a:b]
+            beta[e - k, w] = np.logaddexp(beta[e - k, w], beta[e, w] + logs[a:b])
+        return beta
+
+    def expect(self, lattice: Lattice, times: np.ndarray, into: np.ndarray) -> float:
+        """Add the expected piece counts of ``times`` of each word; gives their log-likelihood."""
+        logs = lattice.edge_logs(self.pieces)
+        alpha, beta = self.forward(logs), self.backward(logs)
+        total, share = alpha[self.n], logs
+        for e, k, a, b in self.parts:
+            w = self.words[a:b]
+            share[a:b] += alpha[e - k, w] + beta[e, w] - total[w]
+        lattice.put(self.pieces, np.exp(share) * times[self.words], into)
+        return float(total @ times)
+
+
+@functools.lru_cache(1)
+def _lattice(path: str) -> Lattice:
+    return Lattice(path)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -156,41 +211,94 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("train", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def expected_pieces(words: DataFrame, path: str, raw: bytes | None) -> DataFrame:
-    """(piece, n): expected counts over the training words' segmentations."""
+BLOCKS = "n int, words array<binary>, c array<bigint>, groups binary, sizes binary, at binary, pieces binary"
+BLOCK_TYPE = pa.schema([("n", pa.int32()), ("words", pa.list_(pa.binary())), ("c", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("groups", "sizes", "at", "pieces"))])
+
+
+def word_blocks(types: DataFrame, path: str) -> DataFrame:
+    """The lattices of all word types; one word of more than ``LONG`` characters is a block of its own."""
 
     def run(batches):
-        lattice = _lattice(path, raw)
-        into = np.zeros(lattice.size + 1)
-        for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                lattice.expect(w, c, into)
-        at = np.flatnonzero(into)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(into[at])], ["piece", "n"])
+        lattice = _lattice(path)
+        waiting: dict[int, tuple[list, list, list]] = {}
 
-    return words.where("c > 0").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        def block(n, words, c, edges):
+            return pa.RecordBatch.from_pylist([{"words": words, "c": c, **Block.of(edges, n).row()}], BLOCK_TYPE)
 
+        for batch in batches:
+            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                w = MARK + word.decode("utf-8", "replace")
+                if len(w) > LONG:
+                    yield block(len(w), [word], [c], [lattice.edges(w)])
+                    continue
+                at = waiting.setdefault(len(w), ([], [], []))
+                for col, x in zip(at, (word, c, lattice.edges(w))):
+                    col.append(x)
+                if len(at[0]) == BLOCK:
+                    yield block(len(w), *waiting.pop(len(w)))
+        for n, at in waiting.items():
+            yield block(n, *at)
+
+    return types.mapInArrow(run, BLOCKS)
 
-def with_whole(lattice: float, c: int, n: int, v: int) -> float:
-    """Natural log of (c + v * exp(lattice)) / (n + v)."""
-    if not n:
-        return lattice
-    spelled = math.log(v) + lattice
-    whole = math.log(c) if c else -math.inf
-    most = max(spelled, whole)
-    return most + math.log1p(math.exp(min(spelled, whole) - most)) - math.log(n + v)
 
+def expected_pieces(blocks: DataFrame, path: str, weights) -> DataFrame:
+    """(piece, n): expected counts over the training words' segmentations; piece -1 has their log-likelihood."""
 
-def word_scores(words: DataFrame, path: str, weights, n: int, v: int) -> DataFrame:
+    def run(batches):
+        lattice = _lattice(path).use(np.frombuffer(weights.value))
+        into, total = np.zeros(lattice.size + 1), 0.0
+        for batch in batches:
+            for row in batch.to_pylist():
+                times = np.array(row["c"], float)
+                if times.any():
+                    total += Block.read(row, len(times)).expect(lattice, times, into)
+        at = np.flatnonzero(into)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(into[at], total))], ["piece", "n"])
+
+    return blocks.select("n", "c", "groups", "sizes", "at", "pieces").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def next_weights(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Expected counts with ``PRIOR`` of their sum dealt by the first weights: every piece stays possible."""
+    mixed = counts + first * PRIOR * max(1.0, counts.sum())
+    return mixed / mixed.sum()
+
+
+def learn_weights(blocks: DataFrame, path: str, ends: int, gain: float = GAIN) -> np.ndarray:
+    """Expectation-maximisation over the training words and ``ends`` ends."""
+    sc, lattice = blocks.sparkSession.sparkContext, _lattice(path)
+    weights, before = lattice.first, -math.inf
+    if not ends:
+        return weights
+    for _ in range(ROUNDS):
+        shared = sc.broadcast(weights.tobytes())
+        got = expected_pieces(blocks, path, shared).toArrow()
+        shared.unpersist()
+        piece, n = got["piece"].to_numpy(), got["n"].to_numpy()
+        counts = np.zeros(lattice.size + 1)
+        counts[piece[piece >= 0]] = n[piece >= 0]
+        counts[lattice.end] = ends
+        reached = n[piece < 0].sum() + ends * math.log(weights[lattice.end])
+        weights = next_weights(counts, lattice.first)
+        if reached - before <= gain * abs(reached):
+            return weights
+        before = reached
+    raise RuntimeError(f"the likelihood still grows after {ROUNDS} rounds")
+
+
+def word_scores(blocks: DataFrame, path: str, weights) -> DataFrame:
     """(word, c, lp): ``lp`` the natural log of the word's marginal probability."""
 
     def run(batches):
-        lattice = _lattice(path, weights.value)
+        lattice = _lattice(path).use(np.frombuffer(weights.value))
         for batch in batches:
-            lp = [with_whole(lattice.log_prob(w), c, n, v) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp, pa.float64())], ["word", "c", "lp"])
+            for row in batch.to_pylist():
+                block = Block.read(row, len(row["words"]))
+                lp = block.forward(lattice.edge_logs(block.pieces))[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(row["words"], pa.binary()), pa.array(row["c"], pa.int64()), pa.array(lp)], ["word", "c", "lp"])
 
-    return words.mapInArrow(run, "word binary, c long, lp double")
+    return blocks.mapInArrow(run, "word binary, c long, lp double")
 
 
 def _sums(docs: DataFrame, head) -> DataFrame:
@@ -238,7 +346,7 @@ def _sums(docs: DataFrame, head) -> DataFrame:
     return map_texts(docs, make, f"a long, b long, doc_id {kind}, train boolean, n long, known long, lc double, lp double, word binary, times long")
 
 
-def lm_scores(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
+def lm_scores(docs: DataFrame, path: str, head: int = HEAD, gain: float = GAIN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lattice")
@@ -248,17 +356,12 @@ def lm_scores(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     total, distinct = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = total + ends, distinct + (ends > 0)
 
-    first = _lattice(path, None)
-    got = expected_pieces(types, path, None).toArrow()
-    counts = np.zeros(first.size + 1)
-    counts[got["piece"].to_numpy()] = got["n"].to_numpy()
-    counts[first.end] = ends
-    mixed = counts + first.weights * max(1.0, 1e-3 * counts.sum())  # every piece stays possible
-    weights = mixed / mixed.sum()
-    end_lp = with_whole(math.log(weights[first.end]), ends, n, v)
-
-    shared = spark.sparkContext.broadcast(weights.tobytes())
-    scored = scratch.write(word_scores(types, path, shared, n, v))
+    blocks = scratch.write(word_blocks(types, path))
+    scratch.drop(types)
+    weights = learn_weights(blocks, path, ends, gain)
+    end_lp = math.log(weights[_lattice(path).end])
+    scored = scratch.write(word_scores(blocks, path, spark.sparkContext.broadcast(weights.tobytes())))
+    scratch.drop(blocks)
     base = -math.log10(n + v + 1)
     top = scored.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).where("c > 0").toArrow()
     table = {w: (c > 0, math.log10(c + 1), lp) for w, c, lp in zip(top["word"].to_pylist(), top["c"].to_pylist(), top["lp"].to_pylist())}

@@ -135,6 +135,36 @@ def segmentations(word, pieces):
                 yield [word[:k], *rest]
 
 
+def lattice_lm(texts, held, lattice, prior, gain):
+    """log10 probability of each text: every word's segmentations listed, weights by plain EM."""
+    tokens = [words((t or "").translate(LOWER)) for t in texts]
+    c = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
+    ends = held.count(False)
+    ids = {p: (i,) for p, (_, i) in lattice.found.items()}
+    ways = {}
+    for w in {w for ws in tokens for w in ws}:
+        spelled = {**ids, **{x: tuple(int(lattice.bytes[b]) for b in x.encode()) for x in set(w) if x not in ids}}
+        ways[w] = [[i for p in s for i in spelled[p]] for s in segmentations("▁" + w, spelled)]
+    prob = lambda s, weights: math.prod(weights[i] for i in s)
+    weights, before = [float(x) for x in lattice.first], -math.inf
+    while ends:
+        counts, reached = [0.0] * len(weights), ends * math.log(weights[lattice.end])
+        counts[lattice.end] += ends
+        for w, n in c.items():
+            p = [prob(s, weights) for s in ways[w]]
+            reached += n * math.log(sum(p))
+            for s, x in zip(ways[w], p):
+                for i in s:
+                    counts[i] += n * x / sum(p)
+        total = sum(counts)
+        mixed = [x + float(f) * prior * max(1.0, total) for x, f in zip(counts, lattice.first)]
+        weights = [x / sum(mixed) for x in mixed]
+        if reached - before <= gain * abs(reached):
+            break
+        before = reached
+    return [(sum(math.log(sum(prob(s, weights) for s in ways[w])) for w in ws) + math.log(weights[lattice.end])) / math.log(10) for ws in tokens]
+
+
 def groups(pairs):
     out = defaultdict(set)
     for a, b in pairs:

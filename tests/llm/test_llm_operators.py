@@ -355,19 +355,36 @@ def test_wand_finds_all():
 def test_lattice_against_all_segmentations():
     path = lattice_lm.default_vocabulary()
     lattice = lattice_lm.Lattice(path)
-    pieces = {p: lw for p, (_, _, lw) in lattice.found.items()}
+    pieces = {p: lattice.logs[i] for p, (_, i) in lattice.found.items()}
     for word in ("the", "hello", "xyzzy", "ab"):
         total = sum(math.exp(sum(pieces[p] for p in s)) for s in brute.segmentations("▁" + word, pieces))
         assert lattice.log_prob(word.encode()) == pytest.approx(math.log(total))
         into = np.zeros(lattice.size + 1)
-        lattice.expect(word.encode(), 1.0, into)
-        spelled = sum(into[i] * len(p) for p, (_, i, _) in lattice.found.items())
+        block = lattice_lm.Block.of([lattice.edges("▁" + word)], len(word) + 1)
+        assert block.expect(lattice, np.ones(1), into) == pytest.approx(math.log(total))
+        spelled = sum(into[i] * len(p) for p, (_, i) in lattice.found.items())
         assert spelled == pytest.approx(len(word) + 1)
     assert lattice.weights.sum() == pytest.approx(1)
     assert -math.inf < lattice.log_prob("☃\U0001f642".encode()) < 0
     assert -math.inf < lattice.log_prob(b"x" * 30_000) < 0
 
 
+def test_score_is_the_sum_over_all_segmentations(spark, monkeypatch):
+    """Weights by plain expectation-maximisation, scores by listing every segmentation of every word."""
+    monkeypatch.setattr(lattice_lm, "BLOCK", 3)
+    monkeypatch.setattr(lattice_lm, "LONG", 7)
+    texts = ["the cat sat on the mat", "The CAT the dog", "", None, "☃ cat\u00e9 zq", "mat mat sat unheard", "the the the", "a \U0001f642x", "dog on a", "never met"]
+    rows = list(enumerate(texts))
+    path = lattice_lm.default_vocabulary()
+    lattice = lattice_lm.Lattice(path)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    assert any(held) and not all(held)
+    want = brute.lattice_lm([t for _, t in rows], held, lattice, lattice_lm.PRIOR, lattice_lm.GAIN)
+    for head in (2, 1000):
+        got = {r.doc_id: r.score for r in lattice_lm.lm_scores(frame(spark, rows), path, head=head).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-9)
+
+
 def test_lm(spark, table, docs, empty):
     got = lattice_lm.lm_scores(table, lattice_lm.default_vocabulary(), head=20).collect()
     want = brute.base_lm(docs)
