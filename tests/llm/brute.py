@@ -116,6 +116,40 @@ def secrets(text):
     return Counter(x[3] for x in kept), sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in kept)), {f"{k}:{s}:{e}" for s, _, e, k in kept}
 
 
+def novel(text, novelty, context=120):
+    """Novel spans: every run, every sensitive word, and sizes of whole compressed texts."""
+    import zstandard
+
+    primed = zstandard.ZstdCompressionDict(novelty.dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=3)
+    size = lambda t: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(novelty.ballast + t.encode()))
+    words = [m.span() for m in re.finditer(r"(?ai)passw|passphrase|secret|token|api[_ -]?key|credential|private|bearer|authorization|signature|access[_ -]?key|client[_ -]?id", text)]
+    base = [tuple(map(int, x.split(":")[1:])) for x in secrets(text)[2]]
+    out, at = [], 0
+    stop = set("\"'`<>(){}[],;|")
+    while at < len(text):
+        end = at
+        while end < len(text) and not text[end].isspace() and text[end] not in stop:
+            end += 1
+        s, e = at, end
+        at = end + 1
+        if e - s < 8:
+            continue
+        m = re.match(r"[A-Za-z_][\w.-]*[=:]+", text[s:e])
+        s += m.end() if m else 0
+        while e > s and text[e - 1] in ".:!?":
+            e -= 1
+        near = any(b <= s and s - b <= context or a >= e and a - e <= context for a, b in words)
+        if e - s < 8 or not near or any(a < e and b > s for a, b in base):
+            continue
+        around = text[max(0, s - context) : s] + text[e : e + context] + " "
+        cost = (size(around + text[s:e]) - size(around)) / len(text[s:e].encode())
+        row = sum(e - s >= x for x in (8, 10, 12, 14, 16, 20, 24, 32)) - 1 + 8 * any(c.isalpha() for c in text[s:e])
+        if cost > novelty.least[row]:
+            out.append(("novel", s, e))
+    return out
+
+
 def base_lm(docs):
     """(held out, tokens, known, N, base score) by id."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
