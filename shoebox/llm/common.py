@@ -37,6 +37,25 @@ def row_digest(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "_r1"), (2, "_r2"))]
 
 
+def most_frequent(counts: DataFrame, n: str, k: int) -> DataFrame:
+    """At most ``k`` rows of ``counts``, those of largest ``n`` (positive); rows that are too many for their
+    1 % step of ``n`` are left out together. A histogram of a fixed size decides, so no task ranks rows."""
+    step = F.floor(F.log2(F.col(n)) * 64)
+    taken, least = 0, None
+    for row in sorted(counts.where(F.col(n) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        taken += row["rows"]
+        if taken > k:
+            break
+        least = row["step"]
+    return counts.where(F.lit(False) if least is None else (F.col(n) > 0) & (step >= least))
+
+
+def hash_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """About ``k`` of the rows of distinct ``key``, all if they are fewer: those of a small hash."""
+    total = rows.count()
+    return rows if total <= k else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < (k << 40) // total)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; null counts as empty."""
     return text.encode().split() if text else []

@@ -2,18 +2,22 @@
 
 A linear model on features of the whole text (shares of bytes, transitions between character
 classes, repetition of words and lines) minimises the non-negative unbiased risk
-``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``: trusted positives are rows labelled 1, the unlabelled
-are web text drawn from all training documents, and the class prior ``pi`` is estimated from all
+``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the logistic loss and a ridge: trusted positives are all training
+rows labelled 1, the unlabelled are all training documents, and the class prior ``pi`` is estimated from all
 training labels (the share of positives, with one of each added). Negative labels are not otherwise used.
 
-Rows with crc32(id) mod 3 = 1 are held out and never read in training. The fit uses a bounded
-sample: at most ``POSITIVES`` and ``UNLABELLED`` documents, those of least id hash, so it is the same at
-every partitioning. Only ids and feature vectors of those reach the driver. Scoring reads the
-weights, a fixed number.
+Features of every document are computed once and written. The risk is minimised by Newton steps: each is
+one pass over the written features, whose sums (losses, gradient, second derivatives: a fixed number)
+are added in a tree of tasks, so nothing is sampled and only sums reach the driver. With the
+logistic loss the unclipped risk is convex, and a step that would take the estimated negative risk below zero, or
+the risk up, is shortened: the minimum is looked for where the estimate is non-negative, so the clip at zero
+never hides a negative one.
+
+Rows with crc32(id) mod 3 = 1 are held out and never read in training. Scoring reads the weights, a fixed number.
 
 Defined cases: a null or empty text has the features of an empty text and a score like any other; a
-null id is not held out; repeated rows get equal scores; without positives the model is constant at
-the prior; only the id and text columns are read; an empty table gives an empty table.
+null id is not held out; repeated rows count each and get equal scores; an id with several labels is a positive if one of them is 1;
+without positives the model is constant at the prior; only the id and text columns are read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.llm.common import documents, id_remainder, map_texts, table, words_of
 from shoebox.plans.ship import ship
+from shoebox.plans.tables import Scratch
 
-MODULUS, HELD_OUT, POSITIVES, UNLABELLED = 3, 1, 8_000, 16_000
+MODULUS, HELD_OUT = 3, 1
+#: Ridge, Newton steps at most, relative gain that ends them, shorter steps that are tried.
+RIDGE, STEPS, GAIN, TRIES = 1e-2, 40, 1e-3, 6
 
 #: Character classes of bytes: space, newline, lower, upper, digit, other ASCII in four, not ASCII.
 CLASS = np.full(256, 8, np.uint8)
@@ -63,88 +70,154 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([printable, np.sqrt(pairs), (pairs > 0.01).astype(float), np.minimum(shape, 3)])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 1e-5, seed: int = 1) -> dict:
-    """Weights that minimise the non-negative risk with the logistic loss; Adam on batches."""
-    if not len(positive) or not len(unlabelled):
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features as 32-bit floats."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def apply(batch, texts):
+            x = [features(t).astype(np.float32).tobytes() for t in texts]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "x"])
+
+        return apply
+
+    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {kind}, x binary")
+
+
+def matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+
+
+def tree_sum(rows: DataFrame, part, size: int) -> np.ndarray:
+    """Sum of ``part(matrix)``, ``size`` numbers, over all batches of ``rows`` (x): by task, then over about
+    the square root as many tasks, then here."""
+
+    def first(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += part(matrix(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def add(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for x in batch.column("sums").to_pylist():
+                total += np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    sums = rows.select("x").mapInArrow(first, "sums binary")
+    few = max(1, math.isqrt(sums.rdd.getNumPartitions()))
+    got = sums.repartition(few).mapInArrow(add, "sums binary").collect()
+    return sum((np.frombuffer(r["sums"]) for r in got), np.zeros(size))
+
+
+def standard(mean: np.ndarray, scale: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(axis=0, dtype=float), np.square(x, dtype=float).sum(axis=0)])
+
+
+def unlabelled_sums(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss as negatives at ``w``, its gradient and second derivatives."""
+    t = z @ w
+    s = sigmoid(t)
+    return np.concatenate([[np.logaddexp(0, t).sum()], z.T @ s, ((z * (s * (1 - s))[:, None]).T @ z).ravel()])
+
+
+def positive_sums(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss as positives and as negatives at ``w``, and the sum of the rows."""
+    t = z @ w
+    return np.concatenate([[np.logaddexp(0, -t).sum(), np.logaddexp(0, t).sum()], z.sum(axis=0)])
+
+
+def fit(positive, unlabelled, prior: float) -> dict:
+    """Weights that minimise the non-negative risk. ``positive`` and ``unlabelled`` sum a function of
+    matrices over all rows of their kind: (function, size) -> sums."""
+    n_u, n_p = (float(rows(lambda x: np.array([float(len(x))]), 1)[0]) for rows in (unlabelled, positive))
+    if not n_p or not n_u:
         return {"mean": np.zeros(WIDTH), "scale": np.ones(WIDTH), "w": np.zeros(WIDTH), "b": math.log(prior / (1 - prior))}
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (np.clip((z - mean) / scale, -8, 8) for z in (positive, unlabelled))
-    rng, w = np.random.default_rng(seed), np.zeros(WIDTH + 1)
+    m = unlabelled(moments, 1 + 2 * WIDTH)
+    mean = m[1 : 1 + WIDTH] / n_u
+    scale = np.sqrt(np.maximum(0, m[1 + WIDTH :] / n_u - mean**2)) + 1e-3
+    d = WIDTH + 1
+    ridge = np.full(d, RIDGE)
+    ridge[-1] = 0
+
+    def at(w):
+        """Risk, estimated negative risk, gradient, second derivatives."""
+        u = unlabelled(lambda x: unlabelled_sums(standard(mean, scale, x), w), 1 + d + d * d) / n_u
+        p = positive(lambda x: positive_sums(standard(mean, scale, x), w), 2 + d) / n_p
+        negative = u[0] - prior * p[1]
+        return prior * p[0] + max(0.0, negative) + ridge @ (w * w) / 2, negative, u[1 : 1 + d] - prior * p[2:] + ridge * w, u[1 + d :].reshape(d, d) + np.diag(ridge + 1e-9)
+
+    w = np.zeros(d)
     w[-1] = math.log(prior / (1 - prior))
-    m1, m2 = np.zeros_like(w), np.zeros_like(w)
-    with_one = lambda z: np.hstack([z, np.ones((len(z), 1))])
-    p, u = with_one(p), with_one(u)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    average, kept = np.zeros_like(w), 0
-    for t in range(1, steps + 1):
-        bp, bu = p[rng.integers(0, len(p), 1024)], u[rng.integers(0, len(u), 2048)]
-        zp, zu = bp @ w, bu @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        d_negative = bu.T @ sig(zu) / len(bu) - prior * (bp.T @ sig(zp)) / len(bp)
-        if negative >= 0:
-            g = -prior * (bp.T @ sig(-zp)) / len(bp) + d_negative
+    risk, negative, gradient, second = at(w)
+    for _ in range(STEPS):
+        step = np.linalg.solve(second, gradient)
+        for _ in range(TRIES):
+            new = at(w - step)
+            if new[1] >= 0 and new[0] <= risk:
+                break
+            step = step * (0.5 if new[1] >= 0 else max(0.05, 0.8 * negative / (negative - new[1])))
         else:
-            g = -d_negative
-        g[:-1] += decay * w[:-1] * len(w)
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        w = w - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-        if t > steps // 2:
-            average, kept = average + w, kept + 1
-    w = average / kept
+            break
+        w, gain = w - step, risk - new[0]
+        risk, negative, gradient, second = new
+        if gain <= GAIN * risk:
+            break
     return {"mean": mean, "scale": scale, "w": w[:-1], "b": w[-1]}
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
-    z = np.clip((x - model["mean"]) / model["scale"], -8, 8) @ model["w"] + model["b"]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
+    return sigmoid(standard(model["mean"], model["scale"], x) @ np.append(model["w"], model["b"]))
 
-def _sample_features(docs: DataFrame, ids: DataFrame, limit: int) -> np.ndarray:
-    """Features of the documents of the ``limit`` ids of least hash; a bounded broadcast of ids."""
-    some = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
-    def make():
-        def apply(batch, texts):
-            x = np.array([features(t) for t in texts], np.float32)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
-
-        return apply
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = map_texts(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), make, f"doc_id {kind}, x binary").toArrow()
-    if not got.num_rows:
-        return np.zeros((0, WIDTH), np.float32)
-    got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    return np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
+def train(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model from all training rows of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.write(feature_rows(docs))
+    model = train_on(rows, labels, scratch)
+    scratch.drop(rows)
+    return model
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
-    """The model from training rows alone."""
-    learn = lambda d: d.where(id_remainder("doc_id", MODULUS) != HELD_OUT)
-    known = learn(labels.select("doc_id", "quality").where("quality is not null"))
+def train_on(rows: DataFrame, labels: DataFrame, scratch: Scratch) -> dict:
+    """The model from the training rows of written features (doc_id, x)."""
+    held = id_remainder("doc_id", MODULUS) == HELD_OUT
+    known = labels.select("doc_id", "quality").where("quality is not null").where(~held)
     n, good = known.agg(F.count("*"), F.coalesce(F.sum(F.col("quality").cast("long")), F.lit(0))).first()
-    prior = (good + 1) / (n + 2)
-    p = _sample_features(docs, known.where("quality = 1"), positives)
-    u = _sample_features(docs, learn(docs.select("doc_id")), unlabelled)
-    return fit(p, u, prior)
+    positive = scratch.write(rows.join(known.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
+    unlabelled = rows.where(F.coalesce(~held, F.lit(True)))
+    model = fit(lambda f, size: tree_sum(positive, f, size), lambda f, size: tree_sum(unlabelled, f, size), (good + 1) / (n + 2))
+    scratch.drop(positive)
+    return model
 
 
-def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def score_rows(rows: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, score) of written features."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def make():
-        m = shared.value
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(shared.value, matrix(batch)), pa.float64())], ["doc_id", "score"])
 
-        def apply(batch, texts):
-            s = score(m, np.array([features(t) for t in texts]))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+    ship(rows.sparkSession)
+    return rows.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double")
 
-        return apply
 
-    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {kind}, score double")
+def score_documents(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, score) of every document."""
+    return score_rows(feature_rows(docs), model)
 
 
 def keep_good(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -156,14 +229,15 @@ def keep_good(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
 
         m = shared.value
         for part, texts in chunks(batches):
-            yield part.filter(pa.array(score(m, np.array([features(t) for t in texts])) >= least))
+            yield part.filter(pa.array(score(m, np.array([features(t) for t in texts], np.float32)) >= least))
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    scratch = Scratch(spark, "quality")
+    rows = scratch.write(feature_rows(documents(spark, sf_dir)))
+    out = score_rows(rows, train_on(rows, table(spark, sf_dir, "labels"), scratch))
     held = F.coalesce(id_remainder("doc_id", MODULUS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -174,7 +174,7 @@ def lattice_lm(texts, held, lattice, prior, gain):
     tokens = [words((t or "").translate(LOWER)) for t in texts]
     c = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
     ends = held.count(False)
-    ids = {p: (i,) for p, (_, i) in lattice.found.items()}
+    ids = {p: (x & 0xFFFFFFFF,) for p, x in lattice.found.items()}
     ways = {}
     for w in {w for ws in tokens for w in ws}:
         spelled = {**ids, **{x: tuple(int(lattice.bytes[b]) for b in x.encode()) for x in set(w) if x not in ids}}

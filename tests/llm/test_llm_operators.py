@@ -93,6 +93,65 @@ def test_quality_ignores_held_out(spark, learnt):
     assert np.array_equal(a["w"], b["w"]) and a["b"] == b["b"]
 
 
+def pu_risk(p, u, prior, w, ridge):
+    """(risk, estimated negative risk), row by row."""
+    loss = lambda z: math.log1p(math.exp(-z))
+    dot = lambda x: sum(a * b for a, b in zip(x, w))
+    as_positive = sum(loss(dot(x)) for x in p) / len(p)
+    negative = sum(loss(-dot(x)) for x in u) / len(u) - prior * sum(loss(-dot(x)) for x in p) / len(p)
+    return prior * as_positive + max(0.0, negative) + ridge * sum(x * x for x in w[:-1]) / 2, negative
+
+
+def test_quality_risk_and_gradient():
+    rng = np.random.default_rng(4)
+    p, u, w = rng.normal(1, 1, (30, 6)), rng.normal(0, 1, (50, 6)), rng.normal(0, 0.3, 6)
+    a, b = quality.unlabelled_sums(u, w), quality.positive_sums(p, w)
+    got = lambda x: 0.6 * quality.positive_sums(p, x)[0] / 30 + quality.unlabelled_sums(u, x)[0] / 50 - 0.6 * quality.positive_sums(p, x)[1] / 30
+    want, negative = pu_risk(p, u, 0.6, w, 0.0)
+    assert negative > 0 and got(w) == pytest.approx(want)
+    gradient = a[1:7] / 50 - 0.6 * b[2:] / 30
+    for k in range(6):
+        h = np.eye(6)[k] * 1e-5
+        assert gradient[k] == pytest.approx((got(w + h) - got(w - h)) / 2e-5, rel=1e-5, abs=1e-8)
+        second = (quality.unlabelled_sums(u, w + h)[1:7] - quality.unlabelled_sums(u, w - h)[1:7]) / 2e-5
+        assert a[7:].reshape(6, 6)[k] == pytest.approx(second, rel=1e-5, abs=1e-6)
+
+
+def test_quality_fit_is_a_minimum(monkeypatch):
+    """No small move gives a lower risk with a non-negative estimate of the negative risk."""
+    monkeypatch.setattr(quality, "WIDTH", 5)
+    monkeypatch.setattr(quality, "GAIN", 1e-10)
+    rng = np.random.default_rng(5)
+    positive, negative = rng.normal(0.7, 1, (200, 5)), rng.normal(-0.7, 1, (120, 5))
+    u = np.concatenate([rng.normal(0.7, 1, (180, 5)), negative])
+    model = quality.fit(lambda f, n: f(positive), lambda f, n: f(u), 0.6)
+    w = np.append(model["w"], model["b"])
+    z = [quality.standard(model["mean"], model["scale"], x) for x in (positive, u)]
+    risk, estimate = pu_risk(*z, 0.6, w, quality.RIDGE)
+    assert estimate >= 0
+    for _ in range(40):
+        other, e = pu_risk(*z, 0.6, w + rng.normal(0, 0.02, 6), quality.RIDGE)
+        assert e < 0 or other >= risk - 1e-9
+    assert np.mean(quality.score(model, negative) < 0.5) > 0.85 and np.mean(quality.score(model, positive) >= 0.5) > 0.85
+
+
+def test_tree_sum_covers_all_rows(spark, docs):
+    rows = quality.feature_rows(frame(spark, docs))
+    want = sum(quality.features(t).astype(np.float32).astype(float) for _, t in docs)
+    assert quality.tree_sum(rows, lambda x: x.sum(axis=0, dtype=float), quality.WIDTH) == pytest.approx(want, rel=1e-6)
+
+
+def test_most_frequent(spark):
+    rows = spark.createDataFrame([(f"w{i}", 1000 // (i + 1)) for i in range(300)] + [("none", 0)], "word string, n long")
+    from shoebox.llm.common import hash_sample, most_frequent
+
+    for k in (0, 1, 7, 50, 10**6):
+        got = {r.word: r.n for r in most_frequent(rows, "n", k).collect()}
+        rest = [r.n for r in rows.collect() if r.word not in got]
+        assert len(got) <= k and (not got or min(got.values()) > max(rest)) and 0 not in got.values()
+    assert hash_sample(rows, "word", 500).count() == 301 and 30 < hash_sample(rows, "word", 60).count() < 100
+
+
 def test_toxicity(spark, learnt, table, empty):
     docs, labels, truth = learnt
     model = toxicity.train(docs, labels)
@@ -355,14 +414,14 @@ def test_wand_finds_all():
 def test_lattice_against_all_segmentations():
     path = lattice_lm.default_vocabulary()
     lattice = lattice_lm.Lattice(path)
-    pieces = {p: lattice.logs[i] for p, (_, i) in lattice.found.items()}
+    pieces = {p: lattice.logs[x & 0xFFFFFFFF] for p, x in lattice.found.items()}
     for word in ("the", "hello", "xyzzy", "ab"):
         total = sum(math.exp(sum(pieces[p] for p in s)) for s in brute.segmentations("▁" + word, pieces))
         assert lattice.log_prob(word.encode()) == pytest.approx(math.log(total))
         into = np.zeros(lattice.size + 1)
-        block = lattice_lm.Block.of([lattice.edges("▁" + word)], len(word) + 1)
+        block = lattice.block(["▁" + word])
         assert block.expect(lattice, np.ones(1), into) == pytest.approx(math.log(total))
-        spelled = sum(into[i] * len(p) for p, (_, i) in lattice.found.items())
+        spelled = sum(into[x & 0xFFFFFFFF] * len(p) for p, x in lattice.found.items())
         assert spelled == pytest.approx(len(word) + 1)
     assert lattice.weights.sum() == pytest.approx(1)
     assert -math.inf < lattice.log_prob("☃\U0001f642".encode()) < 0
