@@ -29,6 +29,7 @@ only ``doc_id`` and ``text`` are read; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections import Counter
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import documents, id_remainder, lower_words, map_texts
+from shoebox.llm.common import documents, id_remainder, lower_words, map_texts, most_frequent
 from shoebox.plans.tables import Scratch
 
 HEAD, HEAD_BYTES, OFFSET, FLUSH, MODULUS, HELD_OUT = 150_000, 40, 10.0, 150_000, 7, 2
@@ -71,7 +72,7 @@ class Lattice:
         for i in usable:
             p = sp.id_to_piece(i)
             if MARK not in p[1:]:
-                self.found.add_word(p, (len(p), i))
+                self.found.add_word(p, len(p) << 32 | i)
                 if len(p) == 1:
                     self.single.add(p)
         self.found.make_automaton()
@@ -83,15 +84,23 @@ class Lattice:
             self.logs = np.log(weights)
         return self
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(end, length, piece) by end; a character without a piece of its own has an edge of byte pieces,
-        whose number is below zero: -1 less its code point."""
-        out = [(e + 1, n, i) for e, (n, i) in self.found.iter(word)]
-        missing = [k for k, c in enumerate(word) if c not in self.single]
+    def block(self, words: list[str]) -> Block:
+        """The lattices of marked words of one length. They are searched as one string: a piece has no mark but its
+        first character, so none crosses into the next word. A character without a piece of its own has an edge of byte
+        pieces, whose number is below zero: -1 less its code point."""
+        n, every = len(words[0]), "".join(words)
+        found = np.fromiter(itertools.chain.from_iterable(self.found.iter(every)), np.int64).reshape(-1, 2)
+        at, length, piece = found[:, 0], found[:, 1] >> 32, found[:, 1] & 0xFFFFFFFF
+        missing = set(every) - self.single
         if missing:
-            out += [(k + 1, 1, -1 - ord(word[k])) for k in missing]
-            out.sort()
-        return out
+            codes = np.frombuffer(every.encode("utf-32-le"), np.uint32).astype(np.int64)
+            odd = np.flatnonzero(np.isin(codes, list(map(ord, missing))))
+            at, length, piece = np.append(at, odd), np.append(length, np.ones_like(odd)), np.append(piece, -1 - codes[odd])
+        key = ((at % n + 1) << 16 | length) << 16 | at // n
+        order = np.argsort(key)
+        key = key[order]
+        groups, sizes = np.unique(key >> 16, return_counts=True)
+        return Block(n, np.stack([groups >> 16, groups & 0xFFFF], axis=1), sizes, (key & 0xFFFF).astype(np.uint16), piece[order].astype(np.int32), len(words))
 
     def spelled(self, piece: int) -> np.ndarray:
         """The byte pieces of an edge below zero."""
@@ -117,7 +126,7 @@ class Lattice:
     def log_prob(self, word: bytes) -> float:
         """Natural log of the word's marginal probability."""
         w = MARK + word.decode("utf-8", "replace")
-        block = Block.of([self.edges(w)], len(w))
+        block = self.block([w])
         return float(block.forward(self.edge_logs(block.pieces))[-1, 0])
 
 
@@ -130,14 +139,6 @@ class Block:
         ends = np.cumsum(sizes).tolist()
         self.parts = [(int(e), int(length), a, b) for (e, length), a, b in zip(self.groups, [0, *ends], ends)]
 
-    @staticmethod
-    def of(edges: list[list[tuple[int, int, int]]], n: int) -> Block:
-        every = np.array([(e, k, w, i) for w, es in enumerate(edges) for e, k, i in es], np.int32).reshape(-1, 4)
-        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
-        key = every[:, 0].astype(np.int64) << 32 | every[:, 1]
-        _, first, sizes = np.unique(key, return_index=True, return_counts=True)
-        return Block(n, every[first, :2], sizes.astype(np.int32), every[:, 2].astype(np.uint16), np.ascontiguousarray(every[:, 3]), len(edges))
-
     def row(self) -> dict:
         sizes = np.array([b - a for _, _, a, b in self.parts], np.int32)
         return {"n": self.n, "groups": self.groups.astype(np.int32).tobytes(), "sizes": sizes.tobytes(), "at": self.words.tobytes(), "pieces": self.pieces.tobytes()}
@@ -211,8 +212,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("train", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-BLOCKS = "n int, words array<binary>, c array<bigint>, groups binary, sizes binary, at binary, pieces binary"
-BLOCK_TYPE = pa.schema([("n", pa.int32()), ("words", pa.list_(pa.binary())), ("c", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("groups", "sizes", "at", "pieces"))])
+BLOCKS = "n int, words array<binary>, c binary, groups binary, sizes binary, at binary, pieces binary"
+BLOCK_TYPE = pa.schema([("n", pa.int32()), ("words", pa.list_(pa.binary())), *((x, pa.binary()) for x in ("c", "groups", "sizes", "at", "pieces"))])
 
 
 def word_blocks(types: DataFrame, path: str) -> DataFrame:
@@ -222,22 +223,22 @@ def word_blocks(types: DataFrame, path: str) -> DataFrame:
         lattice = _lattice(path)
         waiting: dict[int, tuple[list, list, list]] = {}
 
-        def block(n, words, c, edges):
-            return pa.RecordBatch.from_pylist([{"words": words, "c": c, **Block.of(edges, n).row()}], BLOCK_TYPE)
+        def block(words, c, marked):
+            return pa.RecordBatch.from_pylist([{"words": words, "c": np.array(c, np.int64).tobytes(), **lattice.block(marked).row()}], BLOCK_TYPE)
 
         for batch in batches:
             for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
                 w = MARK + word.decode("utf-8", "replace")
                 if len(w) > LONG:
-                    yield block(len(w), [word], [c], [lattice.edges(w)])
+                    yield block([word], [c], [w])
                     continue
                 at = waiting.setdefault(len(w), ([], [], []))
-                for col, x in zip(at, (word, c, lattice.edges(w))):
+                for col, x in zip(at, (word, c, w)):
                     col.append(x)
                 if len(at[0]) == BLOCK:
-                    yield block(len(w), *waiting.pop(len(w)))
-        for n, at in waiting.items():
-            yield block(n, *at)
+                    yield block(*waiting.pop(len(w)))
+        for at in waiting.values():
+            yield block(*at)
 
     return types.mapInArrow(run, BLOCKS)
 
@@ -250,7 +251,7 @@ def expected_pieces(blocks: DataFrame, path: str, weights) -> DataFrame:
         into, total = np.zeros(lattice.size + 1), 0.0
         for batch in batches:
             for row in batch.to_pylist():
-                times = np.array(row["c"], float)
+                times = np.frombuffer(row["c"], np.int64).astype(float)
                 if times.any():
                     total += Block.read(row, len(times)).expect(lattice, times, into)
         at = np.flatnonzero(into)
@@ -296,7 +297,7 @@ def word_scores(blocks: DataFrame, path: str, weights) -> DataFrame:
             for row in batch.to_pylist():
                 block = Block.read(row, len(row["words"]))
                 lp = block.forward(lattice.edge_logs(block.pieces))[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(row["words"], pa.binary()), pa.array(row["c"], pa.int64()), pa.array(lp)], ["word", "c", "lp"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["words"], pa.binary()), pa.array(np.frombuffer(row["c"], np.int64)), pa.array(lp)], ["word", "c", "lp"])
 
     return blocks.mapInArrow(run, "word binary, c long, lp double")
 
@@ -363,7 +364,7 @@ def lm_scores(docs: DataFrame, path: str, head: int = HEAD, gain: float = GAIN)
     scored = scratch.write(word_scores(blocks, path, spark.sparkContext.broadcast(weights.tobytes())))
     scratch.drop(blocks)
     base = -math.log10(n + v + 1)
-    top = scored.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).where("c > 0").toArrow()
+    top = most_frequent(scored.where(F.length("word") <= HEAD_BYTES), "c", head).toArrow()
     table = {w: (c > 0, math.log10(c + 1), lp) for w, c, lp in zip(top["word"].to_pylist(), top["c"].to_pylist(), top["lp"].to_pylist())}
     rows = scratch.write(_sums(docs, spark.sparkContext.broadcast(table)))
 
