@@ -1,10 +1,16 @@
-"""Toxicity: a linear-chain conditional random field over words.
+"""Toxicity: a linear-chain conditional random field over words, learnt from document labels.
 
-Labels are per document, so token labels come first: in a training document that is labelled
-toxic, a word is labelled toxic if it, or one of its prefixes, is clearly more frequent (documents
-counted) in toxic training documents than in clean ones. A two-state chain with features of the
-word, its prefixes and suffix and its two neighbours is trained on these labels by gradient ascent of the
-conditional log-likelihood. Forward-backward gives each word its marginal; expected number,
+Labels are per document, so the words' labels are latent. They begin as a guess: in a training document that is
+labelled toxic, a word is toxic if it, or one of its prefixes, is clearly more frequent (documents
+counted) in toxic training documents than in clean ones. Then expectation and maximisation alternate ``ROUNDS`` times:
+
+- E: forward-backward over each whole document under its label. No word of a clean document is toxic; a toxic
+  document holds ``LEAST`` toxic words or more in expectation (the marginals are tilted by one number per
+  document until it does). The marginals of words and of neighbouring pairs are the new token labels.
+- M: a two-state chain with features of the word, its prefixes and suffix and its two neighbours, by
+  gradient ascent of the expected conditional log-likelihood over windows of words.
+
+For scoring, forward-backward gives each word its marginal; expected number,
 largest marginal and length give the document score through a logistic calibration on the training
 documents; words with a marginal of one half or more are the offending offsets.
 
@@ -12,29 +18,32 @@ Forward and backward messages of two states are one ratio each. Documents are la
 step together; a block starts ``warm`` words early, where ``warm`` follows from the contraction of the
 transition matrix, so that the ratio at its first own word is that of the whole text to 1e-9.
 
-Rows with crc32(id) mod 4 = 2 are held out and never read in training. The fit uses a bounded sample: at
-most ``TOXIC`` and ``CLEAN`` documents, those of least id hash; they reach the driver as text.
+Rows with crc32(id) mod 4 = 2 are held out and never read in training. The fit uses a bounded sample of labelled rows:
+about ``TOXIC`` and ``CLEAN`` documents, those of a small id hash, and of their windows about ``WINDOWS`` with
+toxic words and twice as many others. Whole texts stay on the executors; windows, of a fixed number of words, reach the driver.
 
 Defined cases: a null or empty text has no words and a score like any other; a null id is not held
-out; repeated rows get equal scores; without toxic rows the score is the smoothed share of toxic
-labels; only the id and text columns are read; an empty table gives an empty table.
+out; repeated rows get equal scores and train once; an id that is labelled both ways trains as toxic; without toxic or without clean rows
+the score is the smoothed share of toxic labels; only the id and text columns are read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import Memo, documents, id_remainder, map_texts, table
+from shoebox.llm.common import Memo, documents, hash_sample, id_remainder, map_texts, table
+from shoebox.plans.tables import Scratch
 
-MODULUS, HELD_OUT, TOXIC, CLEAN, THRESHOLD = 4, 2, 1_500, 3_000, 0.3
+MODULUS, HELD_OUT, TOXIC, CLEAN, THRESHOLD = 4, 2, 2_000, 4_000, 0.3
+WINDOW, WINDOWS, ROUNDS, EPOCHS, LEAST, REACH = 24, 10_000, 2, (12, 4), 1.0, 3.0
 DIM, CORE, LOG_ODDS, LEAST_DOCS = 1 << 18, 256, 3.0, 4
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -66,19 +75,6 @@ def plain_ids(word: str) -> tuple[list[int], int, int]:
     return [_id(x) for x in (*stems(word), "$" + word[-3:], f"#{min(len(word), 12)}")], _id("<" + word), _id(">" + word)
 
 
-def toxic_stems(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Stems whose smoothed log odds of document frequencies are ``LOG_ODDS`` or more."""
-    seen = []
-    for group in (toxic, clean):
-        counts = Counter()
-        for words in group:
-            counts.update({s for w in set(map(plain, set(words))) if w for s in stems(w)})
-        seen.append(counts)
-    t, c = seen
-    a, b = len(toxic) + 1, len(clean) + 1
-    return {s for s, n in t.items() if n >= LEAST_DOCS and math.log((n + 0.5) / a / ((c[s] + 0.5) / b)) >= LOG_ODDS}
-
-
 class Tokens(dict):
     """Rows of weights of the words met, at most ``limit`` besides those of one text."""
 
@@ -133,14 +129,15 @@ class Crf:
         """Words after which a chain has forgotten its start to 1e-9."""
         spread = abs(self.trans[0, 0] + self.trans[1, 1] - self.trans[0, 1] - self.trans[1, 0])
         shrink = math.tanh(spread / 4)
-        return 1 if shrink < 1e-9 else min(4096, math.ceil(math.log(1e-11) / math.log(shrink)) + 1)
+        return 1 if shrink < 1e-9 else math.ceil(math.log(1e-11) / math.log(shrink)) + 1
 
 
-def marginals(e: np.ndarray, lengths: list[int], trans: np.ndarray, warm: int, core: int = CORE) -> np.ndarray:
-    """Probability of the toxic state of each word. ``e``: the words' scores, text after text."""
+def messages(e: np.ndarray, lengths, trans: np.ndarray, warm: int, core: int = CORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of the toxic state of each word: from the words before, its own, from the words after. ``e``: the
+    words' scores, text after text."""
     n = len(e)
     if not n:
-        return np.empty(0)
+        return np.empty(0), np.empty(0), np.empty(0)
     lengths = np.array([x for x in lengths if x], np.int64)
     ends = np.cumsum(lengths)
     blocks = -(-lengths // core)
@@ -149,7 +146,7 @@ def marginals(e: np.ndarray, lengths: list[int], trans: np.ndarray, warm: int, c
     lo, hi = (ends - lengths)[text], ends[text]
     start = lo + nth * core
     stop = np.minimum(start + core, hi)
-    a = np.exp(np.clip(trans, -30, 30))
+    a = np.exp(trans)
     x = np.exp(np.clip(e, -30, 30))
     ahead, behind = np.empty(n), np.empty(n)
     # forward: r = P(toxic, words so far) / P(clean, words so far), before the word's own factor
@@ -175,78 +172,101 @@ def marginals(e: np.ndarray, lengths: list[int], trans: np.ndarray, warm: int, c
             behind[i] = r[ok]
         m = r[ok] * x[i]
         r[ok] = (a[1, 0] + m * a[1, 1]) / (a[0, 0] + m * a[0, 1])
+    return ahead, x, behind
+
+
+def marginals(e: np.ndarray, lengths, trans: np.ndarray, warm: int, core: int = CORE) -> np.ndarray:
+    """Probability of the toxic state of each word."""
+    ahead, x, behind = messages(e, lengths, trans, warm, core)
     odds = ahead * x * behind
     return odds / (1 + odds)
 
 
-def fit_crf(texts: list[list[str]], tags: list[np.ndarray], epochs: int = 12, window: int = 24, rate: float = 0.3, seed: int = 1) -> Crf:
-    """Maximise the conditional log-likelihood over windows: all that hold a toxic word and as
-    many others, drawn at random; AdaGrad steps with a small decay."""
-    rng, model = np.random.default_rng(seed), Crf()
-    of_plain = Memo(plain_ids, 50_000)
-
-    def ids_of(word: str) -> tuple[list[int], int, int]:
-        own, left, right = of_plain[plain(word)]
-        return [*own, CASE[word.isupper()]], left, right
-
-    memo = Memo(ids_of, 50_000)
-    with_toxic, without = [], []
-    for words, tag in zip(texts, tags):
-        for s in range(0, len(words), window):
-            (with_toxic if tag[s : s + window].any() else without).append((words, tag, s))
-    picked = rng.permutation(len(without))[: 2 * len(with_toxic) + 100]
-    windows = []
-    for words, tag, s in with_toxic + [without[i] for i in picked]:
-        ids, at, part = [], [], words[s : s + window]
-        for k, w in enumerate(part):
-            f = list(memo[w][0])
-            if s + k:
-                f.append(memo[words[s + k - 1]][1])
-            if s + k + 1 < len(words):
-                f.append(memo[words[s + k + 1]][2])
-            ids += f
-            at += [k] * len(f)
-        gold = np.zeros(window, np.float32)
-        gold[: len(part)] = tag[s : s + window]
-        windows.append((np.array(ids, np.int32), np.array(at, np.int32), gold, len(part)))
+def under_labels(e: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, trans: np.ndarray, warm: int, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the words, and (toxic then toxic, toxic then clean, clean then toxic) of each word and its next, given the labels
+    of the documents: none in clean ones, ``least`` or more expected in toxic ones (nine tenths of a word if they have one only)."""
+    ends = np.cumsum(lengths)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    want = np.minimum(least, 0.9 * lengths)
+    number = lambda p: np.bincount(text, p, minlength=len(lengths))
+    low = toxic & (lengths > 0) & (number(marginals(e, lengths, trans, warm)) < want)
+    few, most = np.zeros(len(lengths)), np.where(low, 60.0, 0.0)
+    for _ in range(30 if low.any() else 0):
+        mid = (few + most) / 2
+        short = number(marginals(e + mid[text], lengths, trans, warm)) < want
+        few, most = np.where(short & low, mid, few), np.where(short | ~low, most, mid)
+    ahead, x, behind = messages(e + most[text], lengths, trans, warm)
+    odds = ahead * x * behind
+    p = odds / (1 + odds) * toxic[text]
+    pairs = np.zeros((len(e), 3))
+    at = np.flatnonzero(np.arange(len(e)) + 1 < ends[text]) if len(e) else np.empty(0, np.int64)
+    a = np.exp(trans)
+    left, right = ahead[at] * x[at], x[at + 1] * behind[at + 1]
+    both = np.stack([left * right * a[1, 1], left * a[1, 0], right * a[0, 1], np.full(len(at), a[0, 0])], axis=1)
+    pairs[at] = (both / both.sum(axis=1, keepdims=True))[:, :3] * toxic[text[at], None]
+    return p, pairs
+
+
+class Windows:
+    """Windows of words with feature ids and expected labels, as arrays over all their words."""
+
+    def __init__(self, rows: list[dict]):
+        of = lambda c, kind: [np.frombuffer(r[c], kind) for r in rows]
+        self.ids, self.sizes = of("ids", np.int32), [x.astype(np.int64) for x in of("sizes", np.uint8)]
+        self.gold = np.zeros((len(rows), WINDOW))
+        for g, x in zip(self.gold, of("gold", np.float32)):
+            g[: len(x)] = x
+        self.pairs = np.array(of("pairs", np.float64)).reshape(-1, 2, 2)
+        self.length = np.array([len(x) for x in self.sizes])
+
+    def part(self, which: np.ndarray) -> tuple:
+        ids = np.concatenate([self.ids[i] for i in which])
+        at = np.repeat(np.concatenate([np.arange(self.length[i]) + k * WINDOW for k, i in enumerate(which)]), np.concatenate([self.sizes[i] for i in which]))
+        return ids, at, self.gold[which], self.pairs[which].sum(axis=0), self.length[which]
+
+
+def likelihood(w: np.ndarray, bias: float, trans: np.ndarray, ids, at, gold, pairs, length) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expected conditional log-likelihood of some windows, and its gradient by the words' scores and by the
+    transitions."""
+    live = np.arange(WINDOW)[None, :] < length[:, None]
+    e = np.where(live, np.bincount(at, weights=w[ids], minlength=gold.size).reshape(gold.shape) + bias, 0)
+    a, psi = np.exp(trans), np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
+    alpha, beta, log_z = np.ones((*e.shape, 2)), np.ones((*e.shape, 2)), np.zeros(len(e))
+    for k in range(WINDOW):
+        v = (alpha[:, k - 1] @ a if k else np.ones((len(e), 2))) * psi[:, k]
+        total = v.sum(axis=1)
+        log_z += np.where(live[:, k], np.log(total), 0)
+        alpha[:, k] = np.where(live[:, k, None], v / total[:, None], alpha[:, k - 1] if k else 1)
+    for k in range(WINDOW - 2, -1, -1):
+        v = (beta[:, k + 1] * psi[:, k + 1]) @ a.T
+        beta[:, k] = np.where(live[:, k + 1, None], v / v.sum(axis=1, keepdims=True), 1)
+    p = alpha * beta
+    p = (p / p.sum(axis=2, keepdims=True))[:, :, 1]
+    both = alpha[:, :-1, :, None] * a[None, None] * (beta[:, 1:] * psi[:, 1:])[:, :, None, :]
+    both = (both / both.sum(axis=(2, 3), keepdims=True))[live[:, 1:]].sum(axis=0)
+    return float((gold * e).sum() + (pairs * trans).sum() - log_z.sum()), np.where(live, gold - p, 0), pairs - both
+
+
+def fit_crf(model: Crf, windows: Windows, epochs: int, rate: float = 0.3, seed: int = 1, chain: bool = True) -> Crf:
+    """Gradient ascent with AdaGrad steps and a small decay, from ``model`` on; the weights of ``model`` are changed."""
+    rng = np.random.default_rng(seed)
     g2, b2, t2 = np.full(DIM, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(epochs):
-        order = rng.permutation(len(windows))
+        order = rng.permutation(len(windows.length))
         for start in range(0, len(order), 256):
-            batch = [windows[i] for i in order[start : start + 256]]
-            ids = np.concatenate([f for f, _, _, _ in batch])
-            at = np.concatenate([p + r * window for r, (_, p, _, _) in enumerate(batch)])
-            gold = np.array([g for _, _, g, _ in batch])
-            size = np.array([n for _, _, _, n in batch])
-            e = np.bincount(at, weights=model.w[ids], minlength=gold.size).reshape(gold.shape) + model.bias
-            live = np.arange(window)[None, :] < size[:, None]
-            a = np.exp(model.trans)
-            psi = np.exp(np.clip(np.where(live, e, 0), -30, 30))
-            alpha, beta = np.ones((len(batch), window, 2)), np.ones((len(batch), window, 2))
-            for k in range(window):
-                v = alpha[:, k - 1] @ a if k else np.ones((len(batch), 2))
-                v = v * np.stack([np.ones(len(batch)), psi[:, k]], axis=1)
-                alpha[:, k] = np.where(live[:, k, None], v / v.sum(axis=1, keepdims=True), alpha[:, k - 1] if k else 1)
-            for k in range(window - 2, -1, -1):
-                v = (beta[:, k + 1] * np.stack([np.ones(len(batch)), psi[:, k + 1]], axis=1)) @ a.T
-                beta[:, k] = np.where(live[:, k + 1, None], v / v.sum(axis=1, keepdims=True), 1)
-            p = alpha * beta
-            p = (p / p.sum(axis=2, keepdims=True))[:, :, 1]
-            pair = alpha[:, :-1, :, None] * a[None, None] * (beta[:, 1:] * np.stack([np.ones_like(psi[:, 1:]), psi[:, 1:]], axis=2))[:, :, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            both = live[:, 1:]
-            g, h = gold.astype(int), np.zeros((2, 2))
-            np.add.at(h, (g[:, :-1][both], g[:, 1:][both]), 1)
-            d_trans = (h - pair[both].sum(axis=0)) / len(batch)
-            d = np.where(live, gold - p, 0)
-            step = np.bincount(ids, weights=d.ravel()[at], minlength=DIM) / len(batch) - 1e-5 * model.w
+            part = windows.part(order[start : start + 256])
+            n = len(part[-1])
+            _, d, d_trans = likelihood(model.w, model.bias, model.trans, *part)
+            step = np.bincount(part[0], weights=d.ravel()[part[1]], minlength=DIM) / n - 1e-5 * model.w
             g2 += step * step
             model.w += rate * step / np.sqrt(g2)
-            db = d.sum() / len(batch)
+            db = d.sum() / n
             b2 += db * db
             model.bias += 0.3 * rate * db / math.sqrt(b2)
+            d_trans = d_trans / n * chain
             t2 += d_trans**2
-            model.trans = np.clip(model.trans + 0.3 * rate * d_trans / np.sqrt(t2), -3, 3)
+            model.trans = np.clip(model.trans + 0.3 * rate * d_trans / np.sqrt(t2), -REACH, REACH)
+    model.__dict__.pop("flat", None)
     return model
 
 
@@ -286,37 +306,136 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
-def fit(toxic: list[str], clean: list[str], share: float) -> Model:
-    """``share``: of toxic rows among the training labels, to weigh the two samples."""
-    once: dict[str, str] = {}  # equal words are one object
-    t, c = ([[once.setdefault(w, w) for w in split(x)] for x in group] for group in (toxic, clean))
-    if not t or not c:
-        return Model(Crf(), np.array([0.0] * 4 + [math.log(share / (1 - share))]))
-    marks = toxic_stems(t, c)
-    hot = Memo(lambda w: any(s in marks for s in stems(plain(w))) if plain(w) else False)
-    tags = [np.array([hot[w] for w in words], bool) for words in t] + [np.zeros(len(words), bool) for words in c]
-    crf = fit_crf(t + c, tags)
-    model = Model(crf, np.zeros(5))
-    memo = Tokens(crf)
-    every = t + c
-    x = np.array([summary(p) for i in range(0, len(every), 100) for p in model.tag(every[i : i + 100], memo)])
-    y = np.array([1.0] * len(t) + [0.0] * len(c))
-    weight = np.where(y == 1, share * len(y) / len(t), (1 - share) * len(y) / len(c))
-    model.calibration = fit_logistic(x, y, weight)
-    return model
+SAMPLE = "toxic boolean, text string"
+ROWS = "toxic boolean, key long, ids binary, sizes binary, gold binary, pairs binary"
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
-    """The model from training rows alone."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(id_remainder("doc_id", MODULUS) != HELD_OUT).distinct()
+def training_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> tuple[DataFrame, float]:
+    """(toxic, text) of the sampled training rows, and the smoothed share of toxic labels."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(id_remainder("doc_id", MODULUS) != HELD_OUT)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, bad = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    some = hash_sample(known.where("toxic = 1"), "doc_id", toxic).unionByName(hash_sample(known.where("toxic <> 1"), "doc_id", clean))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
+    return rows.select((F.col("toxic") == 1).alias("toxic"), "text").distinct(), (bad + 1) / (n + 2)
+
+
+def stem_counts(rows: DataFrame) -> DataFrame:
+    """(stem, t, c): toxic and clean documents that hold it."""
+
+    def make():
+        def apply(batch, texts):
+            out: dict[str, list[int]] = {}
+            for toxic, text in zip(batch.column("toxic").to_pylist(), texts):
+                for x in {s for w in set(map(plain, set(split(text)))) if w for s in stems(w)}:
+                    out.setdefault(x, [0, 0])[not toxic] += 1
+            return pa.RecordBatch.from_arrays([pa.array(list(out)), *(pa.array([x[i] for x in out.values()], pa.int64()) for i in (0, 1))], ["stem", "t", "c"])
+
+        return apply
+
+    return map_texts(rows, make, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def toxic_stems(rows: DataFrame, n_toxic: int, n_clean: int) -> set[str]:
+    """Stems whose smoothed log odds of document frequencies are ``LOG_ODDS`` or more."""
+    odds = F.log((F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("c") + 0.5) / (n_clean + 1)))
+    return {r["stem"] for r in stem_counts(rows).where((F.col("t") >= LEAST_DOCS) & (odds >= LOG_ODDS)).select("stem").collect()}
 
-    def sample(value: int, limit: int) -> list[str]:
-        some = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
-        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        return rows["text"].to_pylist()
 
-    return fit(sample(1, toxic), sample(0, clean), (bad + 1) / (n + 2))
+def window_rows(rows: DataFrame, marks: set[str] | None, model: Crf | None, share: float) -> DataFrame:
+    """Windows of the training rows with expected labels: by the stems ``marks``, or of ``model`` under the documents'
+    labels. Of windows without toxic words a share goes on, by the hash of their words."""
+    shared = rows.sparkSession.sparkContext.broadcast((marks, model))
+
+    def make():
+        marks, model = shared.value
+        of_plain = Memo(plain_ids, 50_000)
+        own_ids = Memo(lambda w: [*of_plain[plain(w)][0], CASE[w.isupper()]], 50_000)
+        hot = Memo(lambda w: any(s in marks for s in stems(plain(w))) if plain(w) else False)
+        known = Tokens(model) if model else None
+
+        def labels(words, toxic):
+            lengths = np.array([len(w) for w in words], np.int64)
+            if model:
+                e = np.concatenate([model.scores(w, known) for w in words] or [np.empty(0)])
+                return under_labels(e, lengths, toxic, model.trans, model.warm())
+            p = np.array([t and hot[x] for w, t in zip(words, toxic) for x in w], float)
+            after = np.append(p[1:], 0.0)[: len(p)]
+            if len(p):
+                after[np.cumsum(lengths[lengths > 0]) - 1] = -1  # no word follows
+            return p, np.stack([p * (after == 1), p * (after == 0), (1 - p) * (after == 1)], axis=1)
+
+        def apply(batch, texts):
+            words, toxic = [split(t) for t in texts], np.array(batch.column("toxic").to_pylist(), bool)
+            p, pairs = labels(words, toxic)
+            cols: list[list] = [[] for _ in range(6)]
+            start = 0
+            for ws, t in zip(words, toxic):
+                for lo in range(0, len(ws), WINDOW):
+                    hi = min(len(ws), lo + WINDOW)
+                    gold, key = p[start + lo : start + hi], xxhash.xxh64_intdigest(" ".join(ws[lo:hi]).encode(), int(t)) >> 1
+                    some = bool(gold.max() >= 0.05)
+                    if not some and key >= share * (1 << 63):
+                        continue
+                    each = [[*own_ids[ws[k]], *([of_plain[plain(ws[k - 1])][1]] if k else ()), *([of_plain[plain(ws[k + 1])][2]] if k + 1 < len(ws) else ())] for k in range(lo, hi)]
+                    tt, tc, ct = pairs[start + lo : start + hi - 1].sum(axis=0)
+                    arrays = np.array(list(itertools.chain.from_iterable(each)), np.int32), np.array([len(x) for x in each], np.uint8), gold.astype(np.float32), np.array([hi - lo - 1 - tt - tc - ct, ct, tc, tt])
+                    for col, x in zip(cols, (some, key, *(x.tobytes() for x in arrays))):
+                        col.append(x)
+                start += len(ws)
+            kinds = pa.bool_(), pa.int64(), *[pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["toxic", "key", "ids", "sizes", "gold", "pairs"])
+
+        return apply
+
+    return map_texts(rows, make, ROWS, max_chars=1_000_000)
+
+
+def sizes(rows: DataFrame) -> tuple[int, int, int]:
+    """Toxic rows, clean rows and windows of the training rows."""
+    words = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
+    return tuple(rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic")), F.coalesce(F.sum(F.ceil(words / WINDOW)), F.lit(0))).first())
+
+
+def summaries(rows: DataFrame, crf: Crf) -> tuple[np.ndarray, np.ndarray]:
+    """What the calibration sees of every training row, and whether it is toxic."""
+    shared = rows.sparkSession.sparkContext.broadcast(crf)
+
+    def make():
+        m = Model(shared.value, np.zeros(5))
+        known = Tokens(m.crf)
+
+        def apply(batch, texts):
+            x = np.array([summary(p) for p in m.tag([split(t) for t in texts], known)])
+            return pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c) for c in x.T)], ["toxic", "a", "b", "c", "d"])
+
+        return apply
+
+    got = map_texts(rows, make, "toxic boolean, a double, b double, c double, d double", max_chars=1_000_000).toArrow()
+    got = got.sort_by([(c, "ascending") for c in got.column_names])
+    return np.stack([got[c].to_numpy() for c in "abcd"], axis=1), got["toxic"].to_numpy(zero_copy_only=False).astype(float)
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, rounds: int = ROUNDS, chain: bool = True) -> Model:
+    """The model from training rows alone. ``chain``: transitions are learnt."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    found, share = training_rows(docs, labels, toxic, clean)
+    written = scratch.write(found)
+    n_toxic, n_clean, n_windows = sizes(written)
+    if not n_toxic or not n_clean:
+        return Model(Crf(), np.array([0.0] * 4 + [math.log(share / (1 - share))]))
+    rows = written.repartition(max(1, min(n_toxic + n_clean, 4 * docs.sparkSession.sparkContext.defaultParallelism)))
+    marks, crf = toxic_stems(rows, n_toxic, n_clean), None
+    for k in range(1 + rounds):
+        every = scratch.write(window_rows(rows, marks, crf, min(1.0, 2 * WINDOWS / max(1, n_windows))))
+        some = hash_sample(every.where("toxic"), "key", WINDOWS).unionByName(every.where("not toxic")).toArrow()
+        windows = Windows(some.sort_by([(c, "ascending") for c in ("key", "ids", "gold")]).to_pylist())
+        scratch.drop(every)
+        crf = fit_crf(crf or Crf(), windows, EPOCHS[min(k, 1)], seed=1 + k, chain=chain)
+    x, y = summaries(rows, crf)
+    weight = np.where(y == 1, share * len(y) / n_toxic, (1 - share) * len(y) / n_clean)
+    scratch.drop(written)
+    return Model(crf, fit_logistic(x, y, weight))
 
 
 def score_documents(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
@@ -346,6 +465,6 @@ def score_documents(docs: DataFrame, model: Model, spans: bool = True) -> DataFr
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = score_documents(docs, train(docs, table(spark, sf_dir, "labels")), spans=False)
+    out = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(id_remainder("doc_id", MODULUS) == HELD_OUT, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -189,6 +190,79 @@ def test_marginals_are_exact():
         at += n
 
 
+def chain_weights(e, trans, tilt=0.0):
+    """Weight of every labelling of a chain, listed."""
+    out = {}
+    for labels in itertools.product((0, 1), repeat=len(e)):
+        score = sum(x + tilt for x, y in zip(e, labels) if y) + sum(trans[a][b] for a, b in zip(labels, labels[1:]))
+        out[labels] = math.exp(score)
+    return out
+
+
+@pytest.mark.parametrize("least", [1.0, 2.5])
+def test_marginals_under_labels(least):
+    rng = np.random.default_rng(8)
+    trans = np.array([[0.6, -0.7], [-0.2, 0.9]])
+    lengths, toxic = np.array([5, 0, 1, 7, 4, 6]), np.array([True, True, True, False, True, True])
+    e = rng.normal(-4, 1, lengths.sum())
+    e[-6:] += 6
+    crf = toxicity.Crf()
+    crf.trans = trans
+    p, pairs = toxicity.under_labels(e, lengths, toxic, trans, crf.warm(), least)
+    start = 0
+    for n, t in zip(lengths.tolist(), toxic):
+        part = e[start : start + n]
+        if not t:
+            assert not p[start : start + n].any() and not pairs[start : start + n].any()
+        elif n:
+            lo, hi, want = 0.0, 60.0, min(least, 0.9 * n)
+            number = lambda w: sum(sum(y) * x for y, x in w.items()) / sum(w.values())
+            if number(chain_weights(part, trans)) >= want:
+                hi = 0.0
+            for _ in range(50 if hi else 0):
+                lo, hi = ((lo + hi) / 2, hi) if number(chain_weights(part, trans, (lo + hi) / 2)) < want else (lo, (lo + hi) / 2)
+            w = chain_weights(part, trans, hi)
+            total = sum(w.values())
+            assert p[start : start + n] == pytest.approx([sum(x for y, x in w.items() if y[k]) / total for k in range(n)], abs=1e-6)
+            for k in range(n - 1):
+                assert pairs[start + k] == pytest.approx([sum(x for y, x in w.items() if y[k : k + 2] == ab) / total for ab in ((1, 1), (1, 0), (0, 1))], abs=1e-6)
+            assert not pairs[start + n - 1].any()
+        start += n
+
+
+def test_chain_likelihood_and_gradient(monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW", 5)
+    rng = np.random.default_rng(9)
+    lengths, w, trans = np.array([5, 3, 1]), rng.normal(0, 1, 40), rng.normal(0, 0.5, (2, 2))
+    at = np.sort(np.concatenate([rng.integers(0, n, 12) + 5 * r for r, n in enumerate(lengths)]))
+    ids, gold, pairs = rng.integers(0, 40, len(at)), np.zeros((3, 5)), rng.uniform(0, 2, (2, 2))
+    for r, n in enumerate(lengths):
+        gold[r, :n] = rng.uniform(0, 1, n)
+
+    def plain(bias, trans):
+        e = np.bincount(at, weights=w[ids], minlength=15).reshape(3, 5) + bias
+        return sum((gold[r, :n] * e[r, :n]).sum() - math.log(sum(chain_weights(e[r, :n], trans).values())) for r, n in enumerate(lengths)) + (pairs * trans).sum()
+
+    value, d, d_trans = toxicity.likelihood(w, -0.3, trans, ids, at, gold, pairs, lengths)
+    assert value == pytest.approx(plain(-0.3, trans))
+    assert d.sum() == pytest.approx((plain(-0.3 + 1e-5, trans) - plain(-0.3 - 1e-5, trans)) / 2e-5, rel=1e-5)
+    for i, j in itertools.product((0, 1), repeat=2):
+        h = np.zeros((2, 2))
+        h[i, j] = 1e-5
+        assert d_trans[i, j] == pytest.approx((plain(-0.3, trans + h) - plain(-0.3, trans - h)) / 2e-5, rel=1e-5)
+    k = int(ids[0])
+    up, w[k] = w[k], w[k] + 1e-5
+    more = plain(-0.3, trans)
+    w[k] = up
+    assert d.ravel()[at[ids == k]].sum() == pytest.approx((more - plain(-0.3, trans)) / 1e-5, rel=1e-3)
+
+
+def test_stem_counts(spark):
+    rows = spark.createDataFrame([(True, "Bad, bad words"), (False, "words BAD?"), (False, "good"), (True, "")], "toxic boolean, text string")
+    got = {r.stem: (r.t, r.c) for r in toxicity.stem_counts(rows).collect()}
+    assert got == {"=bad": (1, 1), "=words": (1, 1), "^word": (1, 1), "=good": (0, 1)}
+
+
 # --- 3: near duplicates ---
 
 
