@@ -1,23 +1,24 @@
 """Substring dedup: words covered by a repeated window of consecutive words are removed.
 
-A compacted De Bruijn graph of token k-mers, held sparsely:
-
-1. Every window of ``window`` words keeps the least-hashed of its k-mers. Equal windows keep the same
-   k-mer at the same place, so a window can only be repeated if its k-mer is an edge that occurs
-   twice. Neighbouring windows that keep one k-mer form a *run* (a path of the graph through that edge). k-mers
-   are counted by Spark; the repeated ones set bits in a filter of a fixed size (``FILTER_BITS``),
-   the only thing broadcast. A full filter lets more runs through and changes no result.
-2. Runs through a repeated edge become rows with source coordinates, the hash of the whole run and the
-   hashes of its windows. Equal runs are compacted to one class. A class of two or more
-   occurrences is a repeated path that doesn't branch in these occurrences: all its windows are repeated.
-3. Where an edge branches (several classes), the classes' windows are compared within the edge: a
-   window is repeated if it is in two classes, or in a class of two. A verified window agrees in 128
-   bits, its own hash and that of its edge.
-4. Source coordinates of repeated windows are gathered per document (a bit for each window of a run)
-   and joined to the texts, where the covered words go.
+A De Bruijn graph of token k-mers: an edge is a window of ``window`` words, a node one word less; an edge
+is known by its two nodes, whose words make up all of its own. Only repeated edges matter.
+
+1. Candidates. Every window keeps the least-hashed of its ``kmer``-word k-mers. Equal windows keep the same
+   k-mer at the same place, so an edge can only be repeated if its k-mer is. Neighbouring windows of a document that keep
+   one k-mer form a *run*, a path of the graph with source coordinates. k-mers are counted by Spark; runs of repeated
+   ones go on: by a broadcast filter of ``FILTER_BITS`` while the repeated k-mers set a sixteenth of its bits at most, by a
+   semi-join beyond that, with equal results.
+2. Runs of equal words (a 128-bit digest of the words at the source coordinates) are one class. A class that is alone
+   with its k-mer and occurs twice is a compacted path: none of its inner nodes branches. Classes that share a k-mer
+   branch somewhere; they are taken apart into edges, and edges are counted.
+3. In and out degrees of the nodes over all repeated edges and paths are sums by Spark. A node with one edge in and one
+   out is no end: joined to it, the paths on both sides compact to one. That is done where documents walk: each
+   document's repeated edges and paths, in order, are cut where a node branches or the walk leaves the
+   repeated edges, and what lies between is one span (x, n): ``n`` windows from word ``x`` on.
+4. Spans are joined to their documents by source coordinates, where the covered words go.
 
 Counts and joins are on hashes, with map-side combine; a passage that a third of all documents share
-is one class, and joins back over an exchange that AQE may split.
+is one class, and joins back over an exchange that AQE may split. Ordered work is within one class or document.
 
 Defined cases: a null or empty text, or one shorter than a window, loses nothing; kept words are
 joined by one space; repeated rows repeat each other's windows; a null id is an id of its own; other columns
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from shoebox.llm.common import Memo, documents, map_texts, sha256, words_of
 from shoebox.llm.media import digest_filter
@@ -60,10 +61,11 @@ class Runs:
         sizes = np.array([len(w) for w in texts], np.int64)
         n = int(sizes.sum())
         ends = np.cumsum(sizes)
+        self.words = [w for ws in texts for w in ws]
         self.text, self.x, self.n, self.kmer = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
         if n < window:
             return
-        h = np.fromiter((memo[w] for ws in texts for w in ws), np.uint64, n)
+        h = np.fromiter(map(memo.__getitem__, self.words), np.uint64, n)
         self.power = _powers(_M, n + 1)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(_INV, n), dtype=np.uint64)])
         kmers = _mix(self.spans(np.arange(n - k + 1), k))
@@ -101,85 +103,110 @@ def edge_kmers(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def run_rows(docs: DataFrame, shared, bits: int, window: int, k: int) -> DataFrame:
-    """(doc_id, th, x, n, m, s, windows): runs whose k-mer is in the filter; ``x`` the first window's
-    first word, ``s`` the hash of the whole run."""
+    """(doc_id, th, x, m, v1, v2, nodes): runs, of k-mers in the filter ``shared`` if there is one; ``x`` the first window's
+    first word, (v1, v2) the digest of the words, ``nodes`` one more than windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        runs, words = _runs(window, k), shared.value
+        runs, filled = _runs(window, k), shared.value if shared else None
 
         def apply(batch, texts):
             r = runs(texts)
-            at = r.kmer.view(np.int64) & (bits - 1)
-            keep = np.flatnonzero((words[at >> 6] >> (at & 63)) & 1)
+            keep = np.arange(len(r.kmer))
+            if filled is not None:
+                at = r.kmer.view(np.int64) & (bits - 1)
+                keep = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
             if not len(keep):
                 return None
             x, n, row = r.x[keep], r.n[keep], r.text[keep]
-            whole = _mix(r.spans(x, n + window - 1) ^ n.astype(np.uint64))
-            ends = np.cumsum(n)
-            each = np.repeat(x, n) + np.arange(ends[-1]) - np.repeat(ends - n, n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(_mix(r.spans(each, window)).view(np.int64)))
+            sizes = n + 1
+            ends = np.cumsum(sizes)
+            each = np.repeat(x, sizes) + np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(_mix(r.spans(each, window - 1)).view(np.int64)))
+            words = np.array([xxhash.xxh128_digest(b" ".join(r.words[a:b])) for a, b in zip(x.tolist(), (x + n + window - 1).tolist())], "S16")
+            v = np.frombuffer(words.tobytes(), np.int64).reshape(-1, 2)
             th = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
-            cols = [batch.column("doc_id").take(pa.array(row)), pa.array(th[row]), pa.array(r.offset[keep], pa.int32()), pa.array(n, pa.int32()), pa.array(r.kmer[keep].view(np.int64)), pa.array(whole.view(np.int64)), lists]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "x", "n", "m", "s", "windows"])
+            cols = [batch.column("doc_id").take(pa.array(row)), pa.array(th[row]), pa.array(r.offset[keep], pa.int32()), pa.array(r.kmer[keep].view(np.int64)), pa.array(v[:, 0].copy()), pa.array(v[:, 1].copy()), nodes]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "x", "m", "v1", "v2", "nodes"])
 
         return apply
 
-    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {kind}, th long, x int, n int, m long, s long, windows array<long>")
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = KMER, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, th, runs array<struct<x, mask>>): windows starting at word ``x + i`` are repeated where bit
-    i of the mask is set. Written to the shared folder."""
-    if window - k + 1 > 62:
-        raise ValueError("a run's windows have to fit a 64-bit mask")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
-    repeated = edge_kmers(docs, window, k).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1")
-    rows = scratch.write(run_rows(docs, spark.sparkContext.broadcast(digest_filter(repeated, bits)), bits, window, k))
-    classes = scratch.write(rows.groupBy("m", "s").agg(F.count("*").alias("c"), F.first("windows").alias("windows"), *[F.first(x).alias(x) for x in ("doc_id", "th", "x")]))
-    # repeated runs, all occurrences
-    paths = classes.where("c > 1").select("m", "s")
-    whole = rows.select("doc_id", "th", "x", "n", "m", "s").join(paths, ["m", "s"]).select("doc_id", "th", "x", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    # edges that branch: windows of single runs against the other classes of the edge
+    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {kind}, th long, x int, m long, v1 long, v2 long, nodes array<long>")
+
+
+def candidate_runs(docs: DataFrame, scratch: Scratch, window: int, k: int, bits: int) -> DataFrame:
+    """The runs whose k-mer occurs twice, and with the filter a few more."""
+    repeated = scratch.write(edge_kmers(docs, window, k).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"))
+    if 16 * repeated.count() <= bits:
+        return run_rows(docs, docs.sparkSession.sparkContext.broadcast(digest_filter(repeated, bits)), bits, window, k)
+    return run_rows(docs, None, bits, window, k).join(repeated.withColumnRenamed("d1", "m"), "m", "left_semi")
+
+
+def through_nodes(edges: DataFrame) -> DataFrame:
+    """(node) with one of the distinct ``edges`` (l, r) in and one out."""
+    ends = edges.select(F.col("l").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("r").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")).where("in_degree = 1 and out_degree = 1").select("node")
+
+
+def islands(rows: DataFrame, keys: list[str], at: str, n: str) -> DataFrame:
+    """(keys, at, n, joins) of compacted neighbours: a row goes on from the one before if it begins where that
+    ends and ``joins``."""
+    order = W.partitionBy(*keys).orderBy(at)
+    opens = F.when((F.lag(F.col(at) + F.col(n)).over(order) == F.col(at)) & F.col("joins"), 0).otherwise(1)
+    marked = rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order))
+    return marked.groupBy(*keys, "island").agg(F.min(at).alias(at), F.sum(n).cast("int").alias(n), F.min_by("joins", at).alias("joins")).drop("island")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = KMER, bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, th, spans array<struct<x, n>>): the ``n`` windows from word ``x`` on are repeated.
+    Written to the shared folder."""
+    scratch = Scratch(docs.sparkSession, "substrings")
+    rows = scratch.write(candidate_runs(docs, scratch, window, k, bits))
+    classes = scratch.write(rows.groupBy("m", "v1", "v2").agg(F.count("*").alias("c"), F.first("nodes").alias("nodes")))
     branching = scratch.write(classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"))
-    at = classes.join(branching, "m").select("m", "c", "doc_id", "th", "x", F.posexplode("windows").alias("i", "w"))
-    twice = scratch.write(at.groupBy("m", "w").agg(F.sum("c").alias("c"), F.count("*").alias("classes")).where("classes > 1").select("m", "w"))
-    single = at.where("c = 1").join(twice, ["m", "w"]).groupBy("doc_id", "th", "x").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    found = whole.unionByName(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct("x", "mask")).alias("runs"))
-    out = scratch.write(found)
-    scratch.drop(rows)
-    scratch.drop(classes)
+    # compacted paths, and the edges of the classes that branch
+    whole = classes.where("c > 1").join(branching, "m", "left_anti").select("v1", "v2", F.size("nodes").alias("n"), F.element_at("nodes", 1).alias("l"), F.element_at("nodes", -1).alias("r"))
+    split = classes.join(branching, "m").select("v1", "v2", "c", "nodes", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("i", "l"))
+    split = split.select("v1", "v2", "c", "i", "l", F.get("nodes", F.col("i") + 1).alias("r"))
+    edges = scratch.write(split.groupBy("l", "r").agg(F.sum("c").alias("c")).where("c > 1").select("l", "r"))
+    through = scratch.write(through_nodes(whole.select("l", "r").unionByName(edges)))
+    # pieces of each class that lie between branching nodes
+    known = through.select(F.col("node").alias("l"), F.lit(True).alias("joins"))
+    joins = F.coalesce("joins", F.lit(False)).alias("joins")
+    paths = whole.join(known, "l", "left").select("v1", "v2", F.array(F.struct(F.lit(0).alias("off"), (F.col("n") - 1).alias("n"), joins)).alias("pieces"))
+    walked = split.join(edges, ["l", "r"], "left_semi").join(known, "l", "left").select("v1", "v2", F.col("i").alias("off"), F.lit(1).alias("n"), joins)
+    parts = islands(walked, ["v1", "v2"], "off", "n").groupBy("v1", "v2").agg(F.collect_list(F.struct("off", "n", "joins")).alias("pieces"))
+    pieces = scratch.write(paths.unionByName(parts))
+    # every document's walk, its pieces compacted at nodes that don't branch
+    walks = rows.select("doc_id", "th", "x", "v1", "v2").join(pieces, ["v1", "v2"]).select("doc_id", "th", "x", F.explode("pieces").alias("p"))
+    walks = walks.select("doc_id", "th", (F.col("x") + F.col("p.off")).alias("x"), F.col("p.n").alias("n"), "p.joins").distinct()
+    out = scratch.write(islands(walks, ["doc_id", "th"], "x", "n").groupBy("doc_id", "th").agg(F.collect_list(F.struct("x", "n")).alias("spans")))
+    for table in (rows, classes, branching, edges, through, pieces):
+        scratch.drop(table)
     return out
 
 
-def covered(n_words: int, runs: list[dict], window: int) -> np.ndarray:
+def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
     """Which words a repeated window covers."""
     edge = np.zeros(n_words + 1, np.int32)
-    for run in runs:
-        x, mask = run["x"], run["mask"]
-        while mask:
-            low = mask & -mask
-            i = low.bit_length() - 1
-            ones = (~(mask >> i) & ((mask >> i) + 1)).bit_length() - 1
-            edge[x + i] += 1
-            edge[min(n_words, x + i + ones - 1 + window)] -= 1
-            mask &= ~(((1 << ones) - 1) << i)
+    for span in spans:
+        edge[span["x"]] += 1
+        edge[min(n_words, span["x"] + span["n"] + window - 1)] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, text, kept_sha256): ``text`` holds the kept words, or null."""
     docs = docs.select("doc_id", "text")
-    runs = repeated_windows(docs, window, k).select(F.col("doc_id").alias("_id"), "th", "runs")
+    runs = repeated_spans(docs, window, k).select(F.col("doc_id").alias("_id"), "th", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))  # XXH64, seed 42, as in run_rows
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").select("doc_id", "text", "runs")
+    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").select("doc_id", "text", "spans")
 
     def make():
         def apply(batch, texts):
             n, gone, kept, hashes = [], [], [], []
-            for text, found in zip(texts, batch.column("runs").to_pylist()):
+            for text, found in zip(texts, batch.column("spans").to_pylist()):
                 words = words_of(text)
                 n.append(len(words))
                 if found:

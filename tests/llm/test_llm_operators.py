@@ -331,13 +331,29 @@ def test_substrings(spark, table, docs, empty):
     assert substring_result(empty).count() == 0
 
 
-def test_full_filter_changes_nothing(spark, docs):
+def test_semi_join_changes_nothing(spark, docs):
     df = frame(spark, docs)
-    a = substring_dedup.repeated_windows(df, bits=64).select("doc_id", "th", F.array_sort("runs")).collect()
-    b = substring_dedup.repeated_windows(df).select("doc_id", "th", F.array_sort("runs")).collect()
+    a, b = (substring_dedup.repeated_spans(df, bits=bits).select("doc_id", "th", F.array_sort("spans")).collect() for bits in (64, substring_dedup.FILTER_BITS))
     assert order(a) == order(b) and a
 
 
+def test_spans_are_unitigs(spark):
+    """Spans of a graph with a branch: cut at the nodes where words differ, whole where they don't."""
+    w = [f"w{i}" for i in range(200)]
+    docs = [(1, " ".join(w)), (2, " ".join(w)), (3, " ".join(["x", *w[:100], "y"])), (4, " ".join(["z", *w[80:], "z2"]))]
+    got = {r.doc_id: sorted((s.x, s.n) for s in r.spans) for r in substring_dedup.repeated_spans(frame(spark, docs)).collect()}
+    assert got == {1: [(0, 166)], 2: [(0, 166)], 3: [(1, 66)], 4: [(1, 86)]}
+    docs += [(5, " ".join(w[:60] + ["other"] * 1 + w[61:120])), (6, " ".join(w[:60] + ["other"] * 1 + w[61:120]))]
+    got = {r.doc_id: sorted((s.x, s.n) for s in r.spans) for r in substring_dedup.repeated_spans(frame(spark, docs)).collect()}
+    # the nodes before word 60 and after it have two edges out or in: spans end there
+    assert got[1] == [(0, 26), (26, 35), (61, 105)] and got[5] == [(0, 26), (26, 35), (61, 25)] and got[3] == [(1, 26), (27, 35), (62, 5)]
+
+
+def test_degrees(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (3, 5), (4, 5), (5, 6), (6, 7)], "l long, r long")
+    assert {r.node for r in substring_dedup.through_nodes(edges).collect()} == {3, 4, 6}
+
+
 def test_repeats_within_a_document(spark):
     rng = random.Random(8)
     w = [f"w{rng.randrange(10**6)}" for _ in range(50)]
@@ -347,13 +363,10 @@ def test_repeats_within_a_document(spark):
     assert order(substring_result(frame(spark, twice)).collect()) == order(brute.substring(twice))
 
 
-@pytest.mark.parametrize("mask", [0b1, 0b1011, 0b1110011, (1 << 40) - 1, 1 << 20])
-def test_covered(mask):
+def test_covered():
     want = np.zeros(100, bool)
-    for i in range(41):
-        if mask >> i & 1:
-            want[5 + i : 5 + i + 35] = True
-    assert (substring_dedup.covered(100, [{"x": 5, "mask": mask}], 35) == want).all()
+    want[5:43] = want[60:95] = True
+    assert (substring_dedup.covered(100, [{"x": 60, "n": 1}, {"x": 5, "n": 2}, {"x": 6, "n": 3}], 35) == want).all()
 
 
 # --- 6: media ---
