@@ -29,12 +29,23 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus
 
 
-def row_digest(docs: DataFrame) -> list[Column]:
-    """128 bits of a whole row, never null, as columns ``_r1`` and ``_r2``: rows that share an id, or have
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_digest(docs: DataFrame, names: list[str]) -> list[Column]:
+    """128 bits of a whole row, never null, as two columns: rows that share an id, or have
     none, are told apart. Hashes skip nulls, so which columns are null is hashed as well."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
     parts = [*cols, *(c.isNull() for c in cols)]
-    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "_r1"), (2, "_r2"))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in zip((1, 2), names)]
 
 
 def most_frequent(counts: DataFrame, n: str, k: int) -> DataFrame:

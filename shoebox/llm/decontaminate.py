@@ -9,13 +9,13 @@ words that so large an overlap may lack. A block is skipped for a document whose
 to the block's least threshold; in the others WAND walks the postings from pivot to pivot. The reported
 score is that of the best passage (windows of twice the longest item, half overlapping).
 
-Retrieved pairs are verified on the whole document: the share of the item's five-word shingles
-that the document has, over the item and over its question and answer apart (the answer is the
-last line of an item that has several, else its last third). A document is contaminated by an item at
-``SIMILAR`` or more of all its shingles.
+Retrieved pairs are verified, and the unit is the whole document: it is contaminated by an item if it has
+``SIMILAR`` or more of the item's five-word shingles, wherever they stand, and ``PART`` or more of the three-word
+shingles of its question and of its answer (the answer is the last line of an item that has several, else its last
+third; a part without words counts as the item).
 
 The index is the only thing broadcast. It is made for ``ITEMS`` test items at a time, so its size is
-bounded; more items mean more scans, in blocks. Words are runs of letters and digits, lower-cased.
+bounded; more items mean more scans, in blocks, whose rows are written. Words are runs of letters and digits, lower-cased.
 
 Defined cases: a null or empty document or item gives no rows; an item shorter than five words is one
 shingle of all its words; an item without words never matches; repeated documents give repeated
@@ -25,6 +25,7 @@ empty table. Memory: one document at a time, whole.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from bisect import bisect_left
@@ -35,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import documents, map_texts, row_digest, table
+from shoebox.llm.common import documents, free, map_texts, row_digest, table
+from shoebox.plans.tables import Scratch
 
-WORD, SHINGLE, SIMILAR, K1, B, BLOCK, MAX_BLOCKS, ITEMS = re.compile(r"[^\W_]+"), 5, 0.8, 1.2, 0.5, 4, 64, 2_000
+WORD, SHINGLE, SIMILAR, PART_SHINGLE, PART, K1, B, BLOCK, MAX_BLOCKS, ITEMS = re.compile(r"[^\W_]+"), 5, 0.8, 3, 0.5, 1.2, 0.5, 4, 64, 2_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,8 +74,8 @@ class Index:
         self.words = [w for _, _, w in items]
         self.shingles = [shingles(w) for w in self.words]
         cut = [answer_start(t, w) for _, t, w in items]
-        self.question = [shingles(w[:c]) or s for w, c, s in zip(self.words, cut, self.shingles)]
-        self.answer = [shingles(w[c:]) or s for w, c, s in zip(self.words, cut, self.shingles)]
+        self.question = [shingles(w[:c], PART_SHINGLE) or s for w, c, s in zip(self.words, cut, self.shingles)]
+        self.answer = [shingles(w[c:], PART_SHINGLE) or s for w, c, s in zip(self.words, cut, self.shingles)]
         n = len(items)
         self.longest = max(map(len, self.words), default=1)
         mean = sum(map(len, self.words)) / max(1, n)
@@ -191,9 +193,7 @@ class Index:
         have: dict[int, set] = {}
         out = []
         for i, score in sorted(scores.items()):
-            width = min(SHINGLE, len(self.words[i]))
-            sizes = {width, *(min(SHINGLE, len(next(iter(s)))) for s in (self.question[i], self.answer[i]))}
-            for w in sizes - have.keys():
+            for w in {len(next(iter(s))) for s in (self.shingles[i], self.question[i], self.answer[i])} - have.keys():
                 have[w] = set(zip(*(words[j:] for j in range(w)), strict=False))
             share = [sum(s in have[len(s)] for s in part) / len(part) for part in (self.shingles[i], self.question[i], self.answer[i])]
             out.append((i, score, *share))
@@ -202,7 +202,7 @@ class Index:
 
 def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, block: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, bm25, overlap, question_overlap, answer_overlap) for every document and test
-    item with ``similar`` of the item's shingles in the document."""
+    item with ``similar`` of the item's shingles, and ``PART`` of its question's and answer's, in the document."""
     spark = docs.sparkSession
     if similar < SIMILAR:
         raise ValueError(f"the thresholds are made for an overlap of {SIMILAR} or more")
@@ -219,7 +219,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, bl
             at = shared.value
 
             def apply(batch, texts):
-                found = [(row, *x) for row, t in enumerate(texts) for x in at.overlaps(t) if x[2] >= similar]
+                found = [(row, *x) for row, t in enumerate(texts) for x in at.overlaps(t) if x[2] >= similar and min(x[3:]) >= PART]
                 cols = list(zip(*found)) or [()] * 6
                 names = batch.column("doc_id").take(pa.array(cols[0], pa.int32()))
                 rest = [pa.array(c, pa.float64()) for c in cols[2:]]
@@ -229,24 +229,22 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, bl
 
         return map_texts(docs.select("doc_id", "text"), make, schema)
 
-    out, part = None, []
-    ordered = items.select("item_id", "text").where("text is not null").orderBy("item_id", "text")
-    for row in ordered.toLocalIterator():
-        part.append((row["item_id"], row["text"]))
+    scratch, part, blocks = Scratch(spark, "contaminated"), [], []
+    for row in items.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         if len(part) == block:
-            out = scan(Index(part)) if out is None else out.unionByName(scan(Index(part)))
+            blocks.append(scratch.write(scan(Index(part))))
             part = []
-    if part or out is None:
-        out = scan(Index(part)) if out is None else out.unionByName(scan(Index(part)))
-    return out
+        part.append((row["item_id"], row["text"]))
+    return functools.reduce(DataFrame.unionByName, [*blocks, scan(Index(part))])
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs`` without the documents that hold a test item. Only digests of those rows are joined, so
     other rows under the same id, or without one, stay."""
-    keyed = docs.select("*", *row_digest(docs))
-    bad = contaminated(keyed.select(F.struct("_r1", "_r2").alias("doc_id"), "text"), items, similar).select("doc_id.*").distinct()
-    return keyed.join(bad, ["_r1", "_r2"], "left_anti").select(docs.columns)
+    keys = free(docs, "r1", "r2")
+    keyed = docs.select("*", *row_digest(docs, keys))
+    bad = contaminated(keyed.select(F.struct(*keys).alias("doc_id"), "text"), items, similar).select("doc_id.*").distinct()
+    return keyed.join(bad, keys, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from shoebox.llm.common import SPACE, documents
+from shoebox.llm.common import SPACE, documents, free
 from shoebox.plans.tables import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,21 +66,19 @@ def _dense_keep(words: str) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` replaced by the kept lines, and n_lines, n_dropped added."""
-    keep = bitmaps.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("n_dropped").alias("_gone"), _dense_keep("words").alias("_keep"))
-    added = docs.drop("n_lines", "n_dropped").withColumn("_key", F.xxhash64(F.col(text)))
-    joined = added.join(keep, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
+    added = docs.drop("n_lines", "n_dropped")
+    doc, th, gone, keep, key = free(added, "doc", "th", "gone", "keep", "key")
+    maps = bitmaps.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("n_dropped").alias(gone), _dense_keep("words").alias(keep))
+    joined = added.withColumn(key, F.xxhash64(F.col(f"`{text}`"))).join(maps, F.col(f"`{doc_id}`").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left")
     kept = F.expr(
         f"""array_join(filter(split(coalesce(`{text}`, ''), '\\n', -1),
-              (x, i) -> (shiftright(coalesce(get(_keep, cast(i / 64 as int)), -1L), i % 64) & 1L) = 1L), '\\n')"""
+              (x, i) -> (shiftright(coalesce(get(`{keep}`, cast(i / 64 as int)), -1L), i % 64) & 1L) = 1L), '\\n')"""
     )
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return joined.select(
-        *[
-            (F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept)).alias(text) if c == text else F.col(f"`{c}`")
-            for c in added.columns
-            if c != "_key"
-        ],
+        *[F.when(F.col(gone).isNull(), whole).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`") for c in added.columns],
         F.size(_lines(F.col(f"`{text}`"))).cast("long").alias("n_lines"),
-        F.coalesce("_gone", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import documents, lower_words, map_texts, row_digest
+from shoebox.llm.common import documents, free, lower_words, map_texts, row_digest
 from shoebox.plans.components import connected_components
 from shoebox.plans.tables import Scratch
 
@@ -203,23 +203,25 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS)
     equal. Rows without an id are chosen among themselves, one of each component. Decisions are by
     row digest, never by id alone, and only digests are joined."""
     scratch = Scratch(docs.sparkSession, "first")
-    keyed = docs.select("*", *row_digest(docs))
-    rows = scratch.write(fingerprints(keyed, width, ("doc_id", "_r1", "_r2")).withColumn("unnamed", F.col("doc_id").isNull()))
-    row = F.struct("doc_id", "_r1", "_r2")
+    keys = free(docs, "r1", "r2")
+    keyed = docs.select("*", *row_digest(docs, keys))
+    marked = keyed.select(F.col("doc_id"), F.col("text"), *(F.col(k).alias(f"d{i}") for i, k in enumerate(keys)))
+    rows = scratch.write(fingerprints(marked, width, ("doc_id", "d0", "d1")).withColumn("unnamed", F.col("doc_id").isNull()))
+    row = F.struct("doc_id", "d0", "d1")
     least = scratch.write(rows.groupBy("fp", "unnamed").agg(F.min(row).alias("least")))
     near = near_components(least.select("fp").distinct(), scratch, max_bits)
     named = least.join(near, "fp", "left").select("fp", "unnamed", "least", F.coalesce("component", "fp").alias("component"))
     first = named.groupBy("component", "unnamed").agg(F.min("least").alias("first"))
-    first = named.select("fp", "unnamed", "component").join(first, ["component", "unnamed"]).select("fp", "unnamed", "first._r1", "first._r2")
-    at = rows.join(first.toDF("fp", "unnamed", "f1", "f2"), ["fp", "unnamed"])
-    gone = at.where("_r1 <> f1 or _r2 <> f2").select("_r1", "_r2").distinct()
-    kept = keyed.join(gone, ["_r1", "_r2"], "left_anti")
-    twice = scratch.write(rows.groupBy("_r1", "_r2").agg(F.count("*").alias("n")).where("n > 1").select("_r1", "_r2"))
+    first = named.select("fp", "unnamed", "component").join(first, ["component", "unnamed"]).select("fp", "unnamed", "first.d0", "first.d1")
+    at = rows.join(first.toDF("fp", "unnamed", "f0", "f1"), ["fp", "unnamed"])
+    gone = at.where("d0 <> f0 or d1 <> f1").select("d0", "d1").distinct().toDF(*keys)
+    kept = keyed.join(gone, keys, "left_anti")
+    twice = scratch.write(rows.groupBy("d0", "d1").agg(F.count("*").alias("n")).where("n > 1").select("d0", "d1").toDF(*keys))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if twice.isEmpty():
-        return kept.select(docs.columns)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(twice, ["_r1", "_r2"], "left_semi").groupBy("_r1", "_r2").agg(F.first(whole).alias("_row")).select("_row.*")
-    return kept.join(twice, ["_r1", "_r2"], "left_anti").select(docs.columns).unionByName(once)
+        return kept.select(columns)
+    once = kept.join(twice, keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return kept.join(twice, keys, "left_anti").select(columns).unionByName(once)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

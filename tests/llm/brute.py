@@ -90,18 +90,22 @@ def media(text):
     return n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()
 
 
-def leaks(docs, items, similar=0.8):
+def leaks(docs, items, similar=0.8, part=0.5):
+    """Documents with the item's five-word shingles, and the three-word ones of its question and its answer."""
     terms = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     cut = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    share = lambda w, k, x: len(cut(w, min(k, len(w))) & cut(x, min(k, len(w)))) / len(cut(w, min(k, len(w))))
     out = set()
     for j, t in items:
         w = terms(t)
-        k = min(5, len(w))
         if not w:
             continue
-        s = cut(w, k)
+        lines = [x for x in map(terms, t.split("\n")) if x]
+        answer = len(lines[-1]) if len(lines) > 1 else len(w) // 3
+        parts = [p for p in (w[: len(w) - answer], w[len(w) - answer :]) if p]
         for i, x in docs:
-            if len(s & cut(terms(x), k)) / len(s) >= similar:
+            x = terms(x)
+            if share(w, 5, x) >= similar and all(share(p, 3, x) >= part for p in parts):
                 out.add((i, j))
     return out
 

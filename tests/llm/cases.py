@@ -7,7 +7,11 @@ import random
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use inside.
-CLASH = "word string, n long, th long, doc long, m long, s long, x int, fp long, score double, bits long, key long, pos int"
+CLASH = (
+    "word string, n long, th long, doc long, m long, s long, x int, fp long, score double, bits long, key long, pos int, gone long, keep long, r1 long, _r2 long, r2 long, d0 long, d1 long, row long, "
+    "_doc long, _th long, _gone long, _keep long, _key string, _bad string, _id long, _r1 long, _row long, ids string, spans string, found string, train string, known long, lp double, c long, v1 long, "
+    "nodes string, held_out string, words string, toxic string, label int, list string, own string, result string, component long, least string, unnamed boolean, n_dropped string, n_lines string, window string"
+)
 
 
 def corpus(seed=1, n=60):

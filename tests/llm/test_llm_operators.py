@@ -470,6 +470,20 @@ def test_items_in_parts_are_found(spark):
         assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_question_and_answer_decide(spark):
+    """Items far apart in two parts, without their answer, with a changed answer, of one line or two."""
+    rng = random.Random(10)
+    w = [f"q{k}" for k in range(60)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:54]) + "\n" + " ".join(f"a{k}" for k in range(6)))]
+    gap = " ".join(f"f{rng.randrange(10**6)}" for _ in range(2000))
+    answer = [f"a{k}" for k in range(6)]
+    docs = [(1, " ".join(w[:30]) + f" {gap} " + " ".join(w[30:])), (2, " ".join(w[:54]) + f" {gap}"), (3, " ".join(w[:54] + ["no"] + answer)), (4, " ".join(w[:54] + ["x", *answer[1:]])), (5, " ".join(w[:54] + answer[::-1])), (6, " ".join(answer))]
+    want = brute.leaks(docs, rows)
+    assert want == {(1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (5, 1)}
+    got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(rows, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_drop_contaminated_tells_rows_apart(spark):
     item = "what is the tallest hill of the northern county and who climbed it first"
     docs = [(None, "clean words only"), (None, item), (None, "another clean one"), (5, "before " + item), (5, "clean text under a shared id"), (6, None)]
