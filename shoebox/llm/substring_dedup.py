@@ -7,7 +7,7 @@ is known by its two nodes, whose words make up all of its own. Only repeated edg
    k-mer at the same place, so an edge can only be repeated if its k-mer is. Neighbouring windows of a document that keep
    one k-mer form a *run*, a path of the graph with source coordinates. k-mers are counted by Spark; runs of repeated
    ones go on: by a broadcast filter of ``FILTER_BITS`` while the repeated k-mers set a sixteenth of its bits at most, by a
-   semi-join beyond that, with equal results.
+   semi-join as well beyond that, and by the semi-join alone once the filter would let nearly all pass. Results are equal.
 2. Runs of equal words (a 128-bit digest of the words at the source coordinates) are one class. A class that is alone
    with its k-mer and occurs twice is a compacted path: none of its inner nodes branches. Classes that share a k-mer
    branch somewhere; they are taken apart into edges, and edges are counted.
@@ -135,11 +135,12 @@ def run_rows(docs: DataFrame, shared, bits: int, window: int, k: int) -> DataFra
 
 
 def candidate_runs(docs: DataFrame, scratch: Scratch, window: int, k: int, bits: int) -> DataFrame:
-    """The runs whose k-mer occurs twice, and with the filter a few more."""
+    """The runs whose k-mer occurs twice, and with the filter alone a few more."""
     repeated = scratch.write(edge_kmers(docs, window, k).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"))
-    if 16 * repeated.count() <= bits:
-        return run_rows(docs, docs.sparkSession.sparkContext.broadcast(digest_filter(repeated, bits)), bits, window, k)
-    return run_rows(docs, None, bits, window, k).join(repeated.withColumnRenamed("d1", "m"), "m", "left_semi")
+    n = repeated.count()
+    shared = docs.sparkSession.sparkContext.broadcast(digest_filter(repeated, bits)) if n <= 2 * bits else None
+    runs = run_rows(docs, shared, bits, window, k)
+    return runs if 16 * n <= bits else runs.join(repeated.withColumnRenamed("d1", "m"), "m", "left_semi")
 
 
 def through_nodes(edges: DataFrame) -> DataFrame:
