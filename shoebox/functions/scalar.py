@@ -194,7 +194,7 @@ def hierarchy_levels(c) -> Column:
 def star_attr(stars) -> Column:
     """0 to 5 as text, null as 0; others raise an error."""
     s = col(stars)
-    bad = F.raise_error(F.concat(F.lit("star rating out of range (0-5): "), s.cast("string"))).cast("string")
+    bad = F.raise_error(F.concat(F.lit("a rating has none to five stars, not "), s.cast("string"))).cast("string")
     return F.when(s.isNull(), "0").when(s.between(0, 5), s.cast("string")).otherwise(bad)
 
 

@@ -75,17 +75,23 @@ def masters(items: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(scores(items), "item_id").select("item_id", "component", (F.row_number().over(order) == 1).alias("is_master"))
 
 
-def duplicate_groups(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSINE) -> DataFrame:
-    """(group_id, item_ids, master_item_id, derivative_item_ids), numbered by size, then least id.
+def numbered_groups(scored: DataFrame) -> DataFrame:
+    """(component, size, master_item_id, group_id) of scored members (item_id, component, score): highest score, then least
+    id; numbered by size, then least id. The numbering is over the table of groups, by range-partitioned offsets, not
+    in one task, and no group is gathered."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), "item_id"))["item_id"]
+    groups = scored.groupBy("component").agg(F.count("*").alias("size"), best.alias("master_item_id"))
+    numbered = number_rows(groups, [F.col("size").desc(), F.col("component").asc()], "n")
+    return numbered.select("component", "size", "master_item_id", F.format_string("dup-%04d", "n").alias("group_id"))
 
-    The numbering is over the table of groups, by range-partitioned offsets, not in one task.
-    """
-    scored = components(items, max_bits, least).join(scores(items), "item_id")
-    groups = scored.groupBy("component").agg(
-        F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.min(F.struct((-F.col("score")).alias("s"), "item_id"))["item_id"].alias("master_item_id")
-    )
-    numbered = number_rows(groups, [F.size("item_ids").desc(), F.col("component").asc()], "n")
-    return numbered.select(F.format_string("dup-%04d", "n").alias("group_id"), "item_ids", "master_item_id", F.array_remove("item_ids", F.col("master_item_id")).alias("derivative_item_ids"))
+
+def duplicate_groups(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSINE) -> DataFrame:
+    """(group_id, item_ids, master_item_id, derivative_item_ids), numbered by size, then least id."""
+    scratch = Scratch(items.sparkSession, "groups")
+    scored = scratch.write(components(items, max_bits, least).join(scores(items), "item_id"))
+    lists = scored.groupBy("component").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+    out = lists.join(numbered_groups(scored), "component")
+    return out.select("group_id", "item_ids", "master_item_id", F.array_remove("item_ids", F.col("master_item_id")).alias("derivative_item_ids"))
 
 
 def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -117,9 +123,11 @@ def stats(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSINE) -
 
 def assign(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSINE, keep_stale: bool = False) -> DataFrame:
     """``items`` with duplicate_group_id and is_primary_master set from the groups; others are reset
-    unless ``keep_stale``."""
-    groups = duplicate_groups(items, max_bits, least).select(F.explode("item_ids").alias("item_id"), F.col("group_id").alias("_group"), F.col("master_item_id").alias("_master"))
-    joined = items.join(groups, "item_id", "left")
+    unless ``keep_stale``. Members are joined to their groups row by row; no list is made."""
+    scratch = Scratch(items.sparkSession, "assigned")
+    scored = scratch.write(components(items, max_bits, least).join(scores(items), "item_id"))
+    groups = numbered_groups(scored).select("component", F.col("group_id").alias("_group"), F.col("master_item_id").alias("_master"))
+    joined = items.join(scored.select("item_id", "component").join(groups, "component").drop("component"), "item_id", "left")
     group = F.coalesce("_group", "duplicate_group_id") if keep_stale else F.col("_group")
     master = F.when(F.col("_group").isNotNull(), F.col("item_id") == F.col("_master")).otherwise(F.col("is_primary_master") if keep_stale else F.lit(True))
     return joined.withColumn("duplicate_group_id", group).withColumn("is_primary_master", master).select(*items.columns)

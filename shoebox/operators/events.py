@@ -107,12 +107,11 @@ def chunks(members: DataFrame, keys: list[str], max_members: int = MAX_MEMBERS)
     return members.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / max_members))
 
 
-def cluster(
-    items: DataFrame, min_count: int = MIN_COUNT, max_members: int = MAX_MEMBERS, gap_minutes: float = GAP_MINUTES, meters: float = METERS, epsilon: float = EPSILON, max_span_hours: float | None = None
+def members(
+    items: DataFrame, min_count: int = MIN_COUNT, max_members: int = MAX_MEMBERS, gap_minutes: float = GAP_MINUTES, meters: float = METERS, epsilon: float = EPSILON
 ) -> DataFrame:
-    """(event_id, seq, item_ids, size, title, anchored_by_visual): day events, then visual components of
-    photos without time and position that are in none. ``max_span_hours`` splits nothing within a day and
-    may be left out."""
+    """(item_id, event_id, seq, size, title, anchored_by_visual), a row per photo in an event: day events, then visual
+    components of photos without time and position that are in none."""
     scratch = Scratch(items.sparkSession, "events")
     walked = scratch.write(day_events(items, gap_minutes, meters))
     enough = walked.groupBy("day", "seq").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("day", "seq")
@@ -121,17 +120,29 @@ def cluster(
     seen = visual_components(left, epsilon).join(left.select("item_id", F.col("timestamp_utc").alias("ts")), "item_id")
     big = seen.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("component")
     visual = seen.join(big, "component")
-    members = dated.select(F.lit(0).alias("phase"), "day", F.col("seq"), F.lit("").alias("component"), "item_id", "ts").unionByName(
+    both = dated.select(F.lit(0).alias("phase"), "day", F.col("seq"), F.lit("").alias("component"), "item_id", "ts").unionByName(
         visual.select(F.lit(1).alias("phase"), F.lit("").alias("day"), F.lit(0).cast("long").alias("seq"), "component", "item_id", "ts")
     )
-    cut = chunks(members, ["phase", "day", "seq", "component"], max_members).join(items.select("item_id", time_key().alias("own_day")), "item_id")
-    events = cut.groupBy("phase", "day", "seq", "component", "chunk").agg(
-        F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.coalesce(F.min(F.when(F.col("own_day") != "?", F.col("own_day"))), F.lit("?")).alias("own_day")
-    )
-    numbered = number_rows(events, [F.col(c).asc() for c in ("phase", "day", "seq", "component", "chunk")], "number")
-    return numbered.select(
-        F.format_string("event-%04d", "number").alias("event_id"), F.col("number").alias("seq"), "item_ids", F.size("item_ids").alias("size"), event_title("own_day").alias("title"), (F.col("phase") == 1).alias("anchored_by_visual")
-    )
+    keys = ["phase", "day", "seq", "component", "chunk"]
+    cut = scratch.write(chunks(both, keys[:-1], max_members).join(items.select("item_id", time_key().alias("own_day")), "item_id"))
+    events = cut.groupBy(*keys).agg(F.count("*").cast("int").alias("size"), F.coalesce(F.min(F.when(F.col("own_day") != "?", F.col("own_day"))), F.lit("?")).alias("first_day"))
+    numbered = number_rows(events, [F.col(c).asc() for c in keys], "number")
+    joined = cut.select("item_id", *keys).join(numbered, keys)
+    return joined.select("item_id", F.format_string("event-%04d", "number").alias("event_id"), F.col("number").alias("seq"), "size", event_title("first_day").alias("title"), (F.col("phase") == 1).alias("anchored_by_visual"))
+
+
+def cluster(
+    items: DataFrame, min_count: int = MIN_COUNT, max_members: int = MAX_MEMBERS, gap_minutes: float = GAP_MINUTES, meters: float = METERS, epsilon: float = EPSILON, max_span_hours: float | None = None
+) -> DataFrame:
+    """(event_id, seq, item_ids, size, title, anchored_by_visual): ``members`` as one row per event, of ``max_members`` photos
+    at most. ``max_span_hours`` splits nothing within a day and may be left out."""
+    rows = members(items, min_count, max_members, gap_minutes, meters, epsilon)
+    return rows.groupBy("event_id", "seq", "size", "title", "anchored_by_visual").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids")).select("event_id", "seq", "item_ids", "size", "title", "anchored_by_visual")
+
+
+def run_clustering(items: DataFrame, keep_stale: bool = False, **options) -> DataFrame:
+    """``items`` with their events assigned, photo by photo; no list is made."""
+    return assign(items, members(items, **options), keep_stale)
 
 
 def unassigned_visual(items: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -141,7 +152,8 @@ def unassigned_visual(items: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def assign(items: DataFrame, events: DataFrame, keep_stale: bool = False) -> DataFrame:
-    """``items`` with event_id of ``events`` (event_id, item_ids); others are cleared unless ``keep_stale``."""
-    at = events.select(F.col("event_id").alias("_event"), F.explode("item_ids").alias("item_id"))
+    """``items`` with event_id of ``events`` (event_id, item_id or item_ids); others are cleared unless ``keep_stale``."""
+    one = F.col("item_id") if "item_id" in events.columns else F.explode("item_ids").alias("item_id")
+    at = events.select(F.col("event_id").alias("_event"), one)
     event = F.coalesce("_event", "event_id") if keep_stale else F.col("_event")
     return items.join(at, "item_id", "left").withColumn("event_id", event).select(*items.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,7 +17,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_shoebox_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    folder = Path(tempfile.mkdtemp(prefix="shoebox-ship-"))
+    folder = Path(tempfile.mkdtemp(prefix="shoebox-ship-"))  # of the driver, which serves the zip as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     shutil.copytree(package, folder / "root" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "root"))
     sc._shoebox_shipped = True

@@ -1,12 +1,13 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: every executor can read it
-again, so losing one costs nothing but the tasks it ran. Where the setting is absent (tests), a
-folder of this process is set once.
+again, so losing one costs nothing but the tasks it ran. Where the setting is absent and Spark runs in one process
+(tests), a folder of this process is set once; on a cluster an absent setting is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ from shoebox.plans.ship import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a fresh local one only where unset."""
+    """The folder in ``spark.checkpoint.dir``; set to a fresh local one only where unset, and only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all of {master} shares")
         found = f"file://{tempfile.mkdtemp(prefix='shoebox-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.functions import scalar as S, vectors as V
-from shoebox.operators import dedup, events, hamming, knn, store, visual, xmp
+from shoebox.operators import dedup, events, hamming, knn, library, store, visual, xmp
 from shoebox.plans.ship import ship
 from shoebox.plans.tables import shared_dir
 from shoebox.schema import MEDIA_ITEMS
@@ -326,7 +326,7 @@ WALK_SQL = KEYED_SQL + """, ordered AS MATERIALIZED (SELECT item_id, day, body,
     FROM (SELECT n.*, w.seq, w.body AS open_body, w.last, w.pts, n.body = w.body OR ((n.ts IS NULL OR w.last IS NULL OR n.ts - w.last <= INTERVAL 30 MINUTE) AND n.gps IS NOT NULL AND len(list_filter(w.pts, lambda p:
         2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(n.gps[1] - p[1]) / 2), 2) + cos(radians(p[1])) * cos(radians(n.gps[1])) * pow(sin(radians(n.gps[2] - p[2]) / 2), 2)))) <= 50)) > 0) AS joins
       FROM walk w JOIN ordered n ON n.day = w.day AND n.rn = w.rn + 1))"""
-EVENTS_SQL = WALK_SQL + """, dated AS MATERIALIZED (SELECT item_id, day, ts, seq FROM walk QUALIFY count(*) OVER (PARTITION BY day, seq) >= 2),
+EVENTS_CTE = WALK_SQL + """, dated AS MATERIALIZED (SELECT item_id, day, ts, seq FROM walk QUALIFY count(*) OVER (PARTITION BY day, seq) >= 2),
   rest AS MATERIALIZED (SELECT item_id, timestamp_utc AS ts, dinov2_vector AS v FROM media_items WHERE timestamp_utc IS NULL AND gps IS NULL AND item_id NOT IN (SELECT item_id FROM dated)),
   near AS MATERIALIZED (SELECT a.item_id AS x, b.item_id AS y FROM rest a JOIN rest b ON 1 - list_cosine_similarity(a.v, b.v) <= 0.05),
   reached AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reached r JOIN near n ON r.y = n.x),
@@ -335,7 +335,10 @@ EVENTS_SQL = WALK_SQL + """, dated AS MATERIALIZED (SELECT item_id, day, ts, seq
     SELECT 1, '', 0, component, item_id, ts FROM placed JOIN rest USING (item_id) QUALIFY count(*) OVER (PARTITION BY component) >= 2),
   cut AS (SELECT m.*, (row_number() OVER (PARTITION BY phase, m.day, seq, component ORDER BY ts NULLS FIRST, item_id) - 1) // 10000 AS chunk, k.day AS own_day FROM members m JOIN keyed k USING (item_id)),
   found AS (SELECT phase, day, seq, component, chunk, string_agg(item_id, ',' ORDER BY item_id) AS item_ids, count(*)::INT AS size, min(own_day) FILTER (own_day <> '?') AS own_day FROM cut GROUP BY phase, day, seq, component, chunk)
-  SELECT 'event-' || lpad((row_number() OVER (ORDER BY phase, day, seq, component, chunk))::VARCHAR, 4, '0') AS event_id, size, CASE WHEN own_day IS NULL THEN 'Untitled event' ELSE 'Event on ' || own_day END AS title, phase = 1 AS anchored_by_visual, item_ids FROM found"""
+  {}"""
+_EVENT_ID = "'event-' || lpad((row_number() OVER (ORDER BY phase, day, seq, component, chunk))::VARCHAR, 4, '0')"
+EVENTS_SQL, RUN_CLUSTERING_SQL = EVENTS_CTE.replace("{}", f"""SELECT {_EVENT_ID} AS event_id, size, CASE WHEN own_day IS NULL THEN 'Untitled event' ELSE 'Event on ' || own_day END AS title, phase = 1 AS anchored_by_visual, item_ids FROM found"""), EVENTS_CTE.replace("{}", f"""SELECT i.item_id, n.event_id FROM media_items i LEFT JOIN cut c USING (item_id)
+    LEFT JOIN (SELECT *, {_EVENT_ID} AS event_id FROM found) n ON c.phase = n.phase AND c.day = n.day AND c.seq = n.seq AND c.component = n.component AND c.chunk = n.chunk""")
 
 
 @query(WALK_SQL + " SELECT item_id, day, seq FROM walk")
@@ -352,6 +355,11 @@ def events_(spark, sf_dir):
 QUERIES["events"], SQL["events"] = QUERIES.pop("events_"), SQL.pop("events_")
 
 
+@query(RUN_CLUSTERING_SQL)
+def run_clustering(spark, sf_dir):
+    return events.run_clustering(media_items(spark, sf_dir)).select("item_id", "event_id")
+
+
 @query(ISLANDS_SQL + """, big AS (SELECT day, island FROM islands GROUP BY day, island HAVING count(*) >= 2),
   used AS (SELECT item_id FROM islands JOIN big USING (day, island)) SELECT item_id FROM media_items WHERE timestamp_utc IS NULL AND gps IS NULL AND item_id NOT IN (SELECT item_id FROM used)""")
 def unassigned_visual(spark, sf_dir):
@@ -577,7 +585,13 @@ def _tree(spark):
     return fixture_tree(spark, _folder(spark, "tree"))
 
 
-@query()
+#: The fixture's files in bytes, with what its images come to (the JVM's JPEG writer gives the same bytes each time).
+_FILES = """(VALUES ('_MG_0001.JPG', 759, 'JPEG', 759, -6180906282297259461, 4.76), ('photo.jpg', 740, 'JPEG', 740, -8494978101235973801, 4.89),
+  ('sub/.hidden.jpg', 839, 'JPEG', 839, -6172462019795549569, 4.65), ('sub/other.jpeg', 871, 'JPEG', 871, -6168240392656388223, 4.74),
+  ('sub/shot.dng', 804, 'DNG', 740, -8494978101235973801, 4.89)) f(name, file_size, file_format, n_bytes, p_hash, aesthetic_score)"""
+
+
+@query(f"SELECT name, file_size::BIGINT AS file_size, file_format, 'rawpy' AS source, NULL::VARCHAR AS error FROM {_FILES}", media=False)
 def scan_files(spark, sf_dir):
     from shoebox.sources import files
 
@@ -585,7 +599,7 @@ def scan_files(spark, sf_dir):
     return files.scan(spark, root).select(F.substring("file_path", len(root) + 2, 1000).alias("name"), "file_size", "file_format", "source", "error")
 
 
-@query()
+@query(f"SELECT name, n_bytes::INT AS n_bytes FROM {_FILES}", media=False)
 def embedded_jpeg(spark, sf_dir):
     from shoebox.sources import files
 
@@ -600,7 +614,7 @@ def _images(spark, root):
     return images.load(spark, files.list_files(spark, root), _folder(spark, "previews"), root)
 
 
-@query()
+@query(f"SELECT name, 32::INT AS height, 32::INT AS width, 3::INT AS nChannels, NULL::VARCHAR AS error FROM {_FILES}", media=False)
 def image_decode(spark, sf_dir):
     root = _tree(spark)
     return _images(spark, root).select(F.substring("path", len(root) + 2, 1000).alias("name"), "height", "width", "nChannels", "error")
@@ -613,32 +627,43 @@ def _signals(spark):
     return images.signals(_images(spark, root)).withColumn("name", F.substring("path", len(root) + 2, 1000))
 
 
-@query()
+@query(f"SELECT name, p_hash::BIGINT AS p_hash FROM {_FILES}", media=False)
 def phash_image(spark, sf_dir):
     return _signals(spark).select("name", "p_hash")
 
 
-@query()
+@query(f"SELECT name, aesthetic_score::DOUBLE AS aesthetic_score FROM {_FILES}", media=False)
 def aesthetic(spark, sf_dir):
     return _signals(spark).select("name", "aesthetic_score")
 
 
-@query()
+@query(f"SELECT name, 192::INT AS dim, 1.0::DOUBLE AS length FROM {_FILES}", media=False)
 def embed_images(spark, sf_dir):
     return _signals(spark).select("name", F.size("dinov2_vector").alias("dim"), F.round(V.norm("dinov2_vector"), 6).alias("length"))
 
 
-@query()
-def run_embeddings(spark, sf_dir):
-    """Scan, signals, partial update of the table."""
-    from shoebox.sources import files, images
+def _library(spark, root):
+    found = store.Store(spark, f"{shared_dir(spark)}/shoebox/store-{uuid.uuid4().hex[:12]}")
+    library.scan_directory(found, root)
+    return found
 
+
+@query(f"SELECT name, file_format, row_number() OVER (ORDER BY name) AS id, 'ok' AS status FROM {_FILES}", media=False)
+def scan_directory(spark, sf_dir):
+    """Scan, put in a store, log; the store's rows with their log."""
+    root = _tree(spark)
+    found = _library(spark, root)
+    log = found.log().select("id", F.col("path").alias("file_path"), "status")
+    return found.items().join(log, "file_path").select(F.substring("file_path", len(root) + 2, 1000).alias("name"), "file_format", "id", "status")
+
+
+@query(f"SELECT name, p_hash::BIGINT AS p_hash, aesthetic_score::DOUBLE AS aesthetic_score, 192::INT AS dim FROM {_FILES}", media=False)
+def run_embeddings(spark, sf_dir):
+    """Scan, signals, partial update of the store."""
     root = _tree(spark)
-    items = files.scan(spark, root).select(*MEDIA_ITEMS.names)
-    found = images.signals(_images(spark, root)).where("error is null").withColumnRenamed("path", "file_path")
-    new = found.join(items.select("item_id", "file_path"), "file_path").select("item_id", "p_hash", "aesthetic_score", "dinov2_vector")
-    out = store.upsert_embeddings(store.upsert_metadata(items, new.select("item_id", "p_hash")), new.select("item_id", "dinov2_vector", "aesthetic_score"))
-    return out.select(F.substring("file_path", len(root) + 2, 1000).alias("name"), "p_hash", "aesthetic_score", F.size("dinov2_vector").alias("dim"))
+    found = _library(spark, root)
+    library.run_embeddings(found, _folder(spark, "previews"), root)
+    return found.items().select(F.substring("file_path", len(root) + 2, 1000).alias("name"), "p_hash", "aesthetic_score", F.size("dinov2_vector").alias("dim"))
 
 
 @query(f" SELECT count(*) AS processed, count(*) FILTER (message IS NULL) AS ok, count(message) AS failed FROM ({_RESULTS})")

@@ -1,4 +1,6 @@
-"""A small EXIF reader: the first directories of a TIFF block, alone or in a JPEG's APP1 segment."""
+"""A small EXIF reader: the first directories of a TIFF block, alone or in a JPEG's APP1 segment.
+
+Bytes may be a ``Seeking`` view of a file, of which only the parts that are asked for are read, wherever they stand."""
 
 from __future__ import annotations
 
@@ -11,6 +13,23 @@ GPS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
+class Seeking:
+    """A file's bytes by offset: the first ``head`` once, others as they are asked for."""
+
+    def __init__(self, read_at, size: int, head: int = 1 << 16):
+        self.read_at, self.size = read_at, size
+        self.head = read_at(min(head, size), 0)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        lo, hi, _ = at.indices(self.size)
+        return self.head[lo:hi] if hi <= len(self.head) else self.read_at(hi - lo, lo) if hi > lo else b""
+
+
 def tiff_block(data: bytes) -> bytes | None:
     """The TIFF block of a file: from an APP1 segment, or the file itself if it is TIFF-like."""
     if data[:4] in (b"II*\0", b"MM\0*", b"IIU\0", b"IIRO", b"IIRS"):

@@ -1,27 +1,31 @@
 """The photo library as a source: recursive listing, metadata, embedded previews.
 
 Spark's file sources drop names that begin with ``_`` or ``.``, and cameras write such names, so
-files are listed through pyarrow's file systems: the first level on the driver, each folder below
-it by a task.
+files are listed through pyarrow's file systems, level by level: the folders of a level are dealt to tasks, and what
+they hold is written. Metadata are read by seeking to them, at any offset of a file.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import shutil
 import subprocess
+import sys
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.functions.scalar import EXTENSION_HINTS, JPEG_SUFFIXES, RAW_SUFFIXES, detect_format, exif_timestamp, gps_from_dms, int_or_none, suffix
+from shoebox.plans.tables import Scratch
 from shoebox.schema import MEDIA_ITEMS
 from shoebox.sources import exif
 
-THUMBS, SCAN_LIMIT, HEAD = ".shoebox_thumbs", 16 << 20, 1 << 18
+THUMBS, SCAN_LIMIT = ".shoebox_thumbs", 16 << 20
 SUFFIXES = JPEG_SUFFIXES + RAW_SUFFIXES
 FILES = "path string, file_size long"
 RAW_META = "make string, model string, serial string, timestamp string, orientation string, lat array<double>, lat_ref string, lon array<double>, lon_ref string"
@@ -37,33 +41,30 @@ def _wanted(path: str) -> bool:
     return dot > 0 and name[dot:].lower() in SUFFIXES
 
 
-def list_files(spark: SparkSession, root: str, thumbs: str = THUMBS) -> DataFrame:
-    """(path, file_size) of every file with a recognised suffix under ``root``, hidden names included;
-    folders named ``thumbs`` are left out."""
-    system, base = _system(root)
-    top = system.get_file_info(fs.FileSelector(base))
-    here = [(x.path, x.size) for x in top if x.type == fs.FileType.File and _wanted(x.path)]
-    folders = [(x.path,) for x in top if x.type == fs.FileType.Directory and x.base_name != thumbs]
+def list_files(spark: SparkSession, root: str, thumbs: str = THUMBS, ordered: bool = False) -> DataFrame:
+    """(path, file_size) of every file with a recognised suffix under ``root``, hidden names included, by path if
+    ``ordered``; folders named ``thumbs`` are left out."""
+    _, base = _system(root)
+    scratch = Scratch(spark, "listing")
 
     def walk(batches: Iterator[pa.RecordBatch]):
         inner, _ = _system(root)
         for batch in batches:
-            todo = batch.column("folder").to_pylist()
-            while todo:
-                rows = []
-                for x in inner.get_file_info(fs.FileSelector(todo.pop())):
-                    if x.type == fs.FileType.Directory and x.base_name != thumbs:
-                        todo.append(x.path)
-                    elif x.type == fs.FileType.File and _wanted(x.path):
-                        rows.append((x.path, x.size))
+            for folder in batch.column("path").to_pylist():
+                rows = [x for x in inner.get_file_info(fs.FileSelector(folder)) if x.base_name != thumbs if x.type == fs.FileType.Directory or x.type == fs.FileType.File and _wanted(x.path)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows]), pa.array([n for _, n in rows], pa.int64())], ["path", "file_size"])
+                    cols = [x.path for x in rows], [x.size for x in rows], [x.type == fs.FileType.Directory for x in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.bool_()))], ["path", "file_size", "folder"])
 
-    out = spark.createDataFrame(here, FILES)
-    if folders:
-        found = spark.createDataFrame(folders, "folder string").repartition(len(folders)).mapInArrow(walk, FILES)
-        out = out.unionByName(found)
-    return out
+    found, level = [], spark.createDataFrame([(base,)], "path string")
+    n = 1
+    while n:
+        held = scratch.write(level.repartition(min(n, 10_000), "path").mapInArrow(walk, FILES + ", folder boolean"))
+        found.append(held.where("not folder").drop("folder"))
+        level = held.where("folder").select("path")
+        n = level.count()
+    out = functools.reduce(DataFrame.unionByName, found)
+    return out.orderBy("path") if ordered else out
 
 
 def _read(system: fs.FileSystem, path: str, most: int) -> bytes:
@@ -115,8 +116,12 @@ def embedded_previews(files: DataFrame, root: str = "", as_raw: bool = True) ->
 
 
 def find_exiftool(exiftool: str | None = "auto") -> str | None:
-    """None: never; ``auto``: from PATH; else the given path."""
-    return shutil.which("exiftool") if exiftool == "auto" else exiftool
+    """None: never; ``auto``: from PATH, else from the Python environment that runs this or lies beside the package; else
+    the given path."""
+    if exiftool != "auto":
+        return exiftool
+    beside = [Path(sys.prefix) / "bin" / "exiftool", Path(__file__).resolve().parents[2] / "venv" / "bin" / "exiftool"]
+    return shutil.which("exiftool") or next((str(x) for x in beside if x.is_file()), None)
 
 
 def _exiftool(exe: str, paths: list[str]) -> dict[str, dict]:
@@ -155,7 +160,8 @@ def read_metadata(files: DataFrame, root: str = "", exiftool: str | None = None)
                     s = "exiftool"
                 else:
                     try:
-                        found = exif.read(_read(system, path, HEAD))
+                        with system.open_input_file(path) as f:
+                            found = exif.read(exif.Seeking(f.read_at, f.size()))
                         m = {k: found.get(k) if isinstance(found.get(k), list) or found.get(k) is None else str(found[k]) for k in [x.name for x in meta_type]}
                         s = "rawpy"
                     except Exception as x:  # isolated per file

@@ -117,6 +117,84 @@ def mean_encoder() -> Callable[[list[np.ndarray]], np.ndarray]:
     return lambda images: np.array([_resample(_resample(x.astype(float), 8).swapaxes(0, 1), 8).ravel() / 255 if x.ndim == 2 else np.stack([_resample(_resample(x[:, :, c].astype(float), 8).T, 8).T for c in range(3)], axis=2).ravel() / 255 for x in images])
 
 
+# Names of the encoder's weights in the order they are tried, its usual input size, the place of its summary
+# token, and the colour statistics of its training images.
+ENCODERS = ("vit_small_patch14_dinov2.lvd142m", "vit_small_patch16_in21k")
+INPUT_SIZE, SUMMARY = (518, 518), 0
+COLOUR_MEAN, COLOUR_DEVIATION = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
+
+
+def best_device(asked: str | None = None) -> str:
+    """The device asked for, else mps or cuda where there is one, else cpu."""
+    if asked:
+        return asked
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "mps" if torch.backends.mps.is_available() else "cuda" if torch.cuda.is_available() else "cpu"
+
+
+def torch_model(name: str, device: str):
+    """A pretrained vision transformer as an object with ``features`` (images x channels x height x width -> images x
+    tokens x numbers) and the ``img_size`` that its patches want, if it tells."""
+    import timm
+    import torch
+
+    model = timm.create_model(name, pretrained=True).eval().to(device)
+
+    class Loaded:
+        img_size = getattr(getattr(model, "patch_embed", None), "img_size", None)
+
+        @staticmethod
+        def features(x: np.ndarray) -> np.ndarray:
+            with torch.no_grad():
+                return model.forward_features(torch.from_numpy(x.astype(np.float32)).to(device)).cpu().numpy()
+
+    return Loaded
+
+
+def load_first(names: tuple[str, ...], load: Callable, device: str):
+    """The first model that loads."""
+    failed = []
+    for name in names:
+        try:
+            return load(name, device)
+        except Exception as x:  # the next name may load
+            failed.append(f"{name}: {x!r}")
+    raise RuntimeError("no encoder could be loaded; " + "; ".join(failed))
+
+
+def input_size(model) -> tuple[int, int]:
+    """Height and width that a model asks for, or the usual ones."""
+    asked = getattr(model, "img_size", None)
+    if not asked:
+        return INPUT_SIZE
+    height, width = (asked, asked) if isinstance(asked, int) else asked
+    return int(height), int(width)
+
+
+def vit_encoder(names: tuple[str, ...] = ENCODERS, load: Callable = torch_model, size: tuple[int, int] | None = None, device: str | None = None) -> Callable:
+    """An ``encoder`` for ``signals``: loads the first of ``names`` once for each worker, resizes images to what the model
+    asks for (or ``size``), and returns its summary token, divided by its length where that is above one."""
+
+    def encoder():
+        model = load_first(names, load, best_device(device))
+        height, width = size or input_size(model)
+
+        def encode(images: list[np.ndarray]) -> np.ndarray:
+            def prepared(x):
+                grown = np.stack([_resample(_resample(x[:, :, c].astype(float), height).T, width).T for c in range(3)], axis=2)
+                return ((grown / 255 - COLOUR_MEAN) / COLOUR_DEVIATION).transpose(2, 0, 1)
+
+            v = np.asarray(model.features(np.stack([prepared(x) for x in images])))[:, SUMMARY, :]
+            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
+
+        return encode
+
+    return encoder
+
+
 def signals(images: DataFrame, encoder: Callable[[], Callable] | None = mean_encoder, batch_size: int = 32, sharpness: bool = False) -> DataFrame:
     """(path, p_hash, aesthetic_score, dinov2_vector, error) of decoded rows. An image that fails is a row
     with an error. Vectors are divided by their length."""

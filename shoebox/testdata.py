@@ -12,10 +12,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos with copies, cameras, positions and gaps: one row per event."""
-    v = read(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    """Photos with copies, cameras, positions and gaps: one row per event, over all vectors."""
+    vectors = read(spark, sf_dir, "embeddings")
+    v = vectors.select(F.col("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("e"), "ts", "user_id", "event_type", "value")
-    e = e.selectExpr("*", "e % 500 as k", "cast((e div 500) % 4 as int) as c", "cast((e div 2000) % 64 as int) as f", "cast((e div 8) % 3 as int) as blk")
+    e = e.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("nv"))))  # one number
+    e = e.selectExpr("*", "e % nv as k", "cast((e div nv) % 4 as int) as c", "cast((e div (4 * nv)) % 64 as int) as f", "cast((e div 8) % 3 as int) as blk").drop("nv")
     d = e.join(v, "k").withColumn("r", F.expr("concat(slice(v, f + 1, 64 - f), slice(v, 1, f))"))
     bits = "aggregate(sequence(0, 63), 0L, (a, i) -> a | if(r[i] > 0, shiftleft(1L, i), 0L))"
     raw = "c = 0 and event_type <> 'view'"
@@ -41,8 +43,8 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same table for DuckDB, as the beginning of a WITH list.
 MEDIA_SQL = """WITH RECURSIVE media_d AS (
-    SELECT event_id AS e, ts, user_id, event_type, value, event_id % 500 AS k, (event_id // 500) % 4 AS c, (event_id // 2000) % 64 AS f, (event_id // 8) % 3 AS blk,
-           embedding::DOUBLE[] AS v FROM events JOIN embeddings ON vec_id = event_id % 500),
+    SELECT event_id AS e, ts, user_id, event_type, value, event_id % nv AS k, (event_id // nv) % 4 AS c, (event_id // (4 * nv)) % 64 AS f, (event_id // 8) % 3 AS blk,
+           embedding::DOUBLE[] AS v FROM events CROSS JOIN (SELECT count(*) AS nv FROM embeddings) JOIN embeddings ON vec_id = event_id % nv),
   media_r AS (SELECT *, list_concat(v[f + 1:64], v[1:f]) AS r FROM media_d),
   media_h AS (SELECT *, list_sum(list_transform(range(64), lambda i: CASE WHEN r[i + 1] > 0 THEN (1::HUGEINT << i) ELSE 0::HUGEINT END))::HUGEINT AS h FROM media_r),
   media_items AS (SELECT

@@ -99,7 +99,7 @@ def test_hamming(spark):
 def test_stars(spark):
     assert one(spark, S.star_attr("s"), "s int", s=None) == "0"
     assert one(spark, S.star_attr("s"), "s int", s=4) == "4"
-    with pytest.raises(Exception, match="out of range"):
+    with pytest.raises(Exception, match="none to five stars"):
         one(spark, S.star_attr("s"), "s int", s=6)
 
 

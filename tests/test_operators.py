@@ -61,17 +61,25 @@ def test_components(spark):
 # --- duplicates ---
 
 
-@pytest.mark.parametrize("bits, most", [(10, 1), (10, 2), (10, None), (3, 1), (0, 1)])
-def test_near_hashes(spark, bits, most):
+@pytest.mark.parametrize("bits, t, largest", [(10, 1, 20_000), (10, 2, 20_000), (10, None, 5), (10, 1, 3), (10, 3, 2), (3, 1, 4), (0, 1, 1)])
+def test_near_hashes(spark, bits, t, largest):
+    """Every number of blocks in a key, with and without buckets that are cut into cells."""
     rng = random.Random(bits)
     base = [rng.getrandbits(64) for _ in range(60)]
     hs = {h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(13))) for h in base for _ in range(4)} | {0, (1 << 64) - 1}
     hs = sorted(h - (1 << 64) if h >> 63 else h for h in hs)
-    got = {tuple(r) for r in hamming.near_hashes(spark.createDataFrame([(h,) for h in hs], "h long"), bits, most).collect()}
+    got = {tuple(r) for r in hamming.near_hashes(spark.createDataFrame([(h,) for h in hs], "h long"), bits, t, largest).collect()}
     want = {(a, b, n) for a, b in itertools.combinations(hs, 2) if (n := ((a ^ b) & (1 << 64) - 1).bit_count()) <= bits}
     assert got == want
 
 
+def test_more_hashes_take_wider_keys():
+    assert [hamming.cheapest(n, 10) for n in (10**3, 10**6, 10**9)] == [1, 2, 5]
+    for n in (10**5, 10**7, 10**9):
+        a, b = (hamming.compared(m, 10, hamming.cheapest(m, 10)) / m for m in (n, 100 * n))
+        assert b < 60 * a  # far from 100, as all pairs would be
+
+
 def groups(spark, *rows, **kw):
     return {tuple(r.item_ids): r.master_item_id for r in dedup.duplicate_groups(items(spark, *rows), **kw).collect()}
 
@@ -272,7 +280,7 @@ def test_xmp(spark):
     assert 'xmp:Rating="4"' in x and "<lr:Star>4</lr:Star>" in x and "<crs:Level3>Day 01</crs:Level3>" in x and "Japan &amp; 2024" in x and "&lt;b&gt;" in x
     plain = document(spark, star_rating=0)
     assert "Rating" not in plain and "crs:" not in plain and plain.count("<rdf:Description") == 2
-    with pytest.raises(Exception, match="out of range"):
+    with pytest.raises(Exception, match="none to five stars"):
         document(spark, star_rating=6)
 
 
