@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` chains them. All but the
-last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the
+last return the columns of ``documents``. ``run`` writes what a stage returns to the shared folder and gives that to
+the next, so that no stage is computed twice.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
 from shoebox.llm.common import documents, table
+from shoebox.plans.tables import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,7 +30,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of least id. Of a group's documents
-    without an id one stays too."""
+    without an id one stays too. Groups are those of the SimHash operator: three-word shingles, links of three bits."""
     return simhash.keep_first(docs.select(*COLUMNS))
 
 
@@ -56,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each on what its predecessor kept."""
-    docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, scratch = documents(spark, sf_dir), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
