@@ -57,3 +57,20 @@ def test_pipeline(spark, tmp_path):
     codec = byte_bpe.codec(path, pattern)
     assert all(codec.decode(r.ids).decode() == text[r.doc_id] for r in df.collect())
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect()} == {tuple(r) for r in df.select("doc_id", "ids_sha256").collect()}
+
+
+def test_run_computes_each_stage_once(spark, monkeypatch):
+    docs = rows(spark, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    seen = spark.sparkContext.accumulator(0)
+
+    def first(spark, found, sf_dir):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return docs.mapInArrow(count, docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", first), *corpus_pipeline.STAGES[1:]])
+    corpus_pipeline.run(spark, SF).collect()
+    assert seen.value == docs.count()
