@@ -16,7 +16,7 @@ from shoebox.operators import dedup, events, hamming, knn, library, store, visua
 from shoebox.plans.ship import ship
 from shoebox.plans.tables import shared_dir
 from shoebox.schema import MEDIA_ITEMS
-from shoebox.testdata import MEDIA_SQL, media_items, read
+from shoebox.testdata import MEDIA_SQL, media_items, read, stored_items
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -223,12 +223,12 @@ def phash_pairs(spark, sf_dir):
 
 @query(PAIRS_SQL + " SELECT id_a, id_b, round(s, 8) AS similarity FROM pairs WHERE s >= 0.97")
 def dup_edges(spark, sf_dir):
-    return dedup.duplicate_edges(media_items(spark, sf_dir)).withColumn("similarity", F.round("similarity", 8))
+    return dedup.duplicate_edges(stored_items(spark, sf_dir)).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(COMPONENTS_SQL + " SELECT item_id, component FROM comp")
 def dup_components(spark, sf_dir):
-    return dedup.components(media_items(spark, sf_dir))
+    return dedup.components(stored_items(spark, sf_dir))
 
 
 @query(SCORES_SQL + " SELECT item_id, round(score, 8) AS score FROM scores")
@@ -238,30 +238,30 @@ def quality_scores(spark, sf_dir):
 
 @query(GROUPS_SQL + " SELECT item_id, component, item_id = master AS is_master FROM comp JOIN groups USING (component)")
 def dup_masters(spark, sf_dir):
-    d = media_items(spark, sf_dir)
+    d = stored_items(spark, sf_dir)
     return dedup.masters(d, dedup.components(d))
 
 
 @query(GROUPS_SQL + " SELECT group_id, array_to_string(ids, ',') AS item_ids, master AS master_item_id FROM numbered")
 def dup_groups(spark, sf_dir):
-    return dedup.duplicate_groups(media_items(spark, sf_dir)).select("group_id", _text("item_ids").alias("item_ids"), "master_item_id")
+    return dedup.duplicate_groups(stored_items(spark, sf_dir)).select("group_id", _text("item_ids").alias("item_ids"), "master_item_id")
 
 
 @query(GROUPS_SQL + " SELECT group_id, array_to_string(list_filter(ids, lambda x: x <> master), ',') AS derivatives FROM numbered")
 def dup_derivatives(spark, sf_dir):
-    return dedup.duplicate_groups(media_items(spark, sf_dir)).select("group_id", _text("derivative_item_ids").alias("derivatives"))
+    return dedup.duplicate_groups(stored_items(spark, sf_dir)).select("group_id", _text("derivative_item_ids").alias("derivatives"))
 
 
 @query(COMPONENTS_SQL + """ SELECT (SELECT count(*) FROM media_items) AS scanned, (SELECT count(*) FROM pairs) AS pairs_checked, (SELECT count(*) FROM pairs WHERE s >= 0.97) AS pairs_confirmed,
   (SELECT count(DISTINCT component) FROM comp) AS groups, (SELECT count(*) FROM comp) AS confirmed_duplicates, (SELECT count(DISTINCT component) FROM comp) AS masters,
   (SELECT count(*) - count(DISTINCT component) FROM comp) AS derivatives""")
 def dedup_stats(spark, sf_dir):
-    return dedup.stats(media_items(spark, sf_dir))
+    return dedup.stats(stored_items(spark, sf_dir))
 
 
 @query(GROUPS_SQL + " SELECT m.item_id, group_id AS duplicate_group_id, coalesce(m.item_id = master, TRUE) AS is_primary_master FROM media_items m LEFT JOIN comp USING (item_id) LEFT JOIN numbered USING (component)")
 def run_dedup(spark, sf_dir):
-    return dedup.assign(media_items(spark, sf_dir)).select("item_id", "duplicate_group_id", "is_primary_master")
+    return dedup.assign(stored_items(spark, sf_dir)).select("item_id", "duplicate_group_id", "is_primary_master")
 
 
 # --- events --------------------------------------------------------------------------------------
@@ -348,7 +348,7 @@ def day_events(spark, sf_dir):
 
 @query(EVENTS_SQL)
 def events_(spark, sf_dir):
-    found = events.cluster(media_items(spark, sf_dir))
+    found = events.cluster(stored_items(spark, sf_dir))
     return found.select("event_id", "size", "title", "anchored_by_visual", _text("item_ids").alias("item_ids"))
 
 
@@ -357,7 +357,7 @@ QUERIES["events"], SQL["events"] = QUERIES.pop("events_"), SQL.pop("events_")
 
 @query(RUN_CLUSTERING_SQL)
 def run_clustering(spark, sf_dir):
-    return events.run_clustering(media_items(spark, sf_dir)).select("item_id", "event_id")
+    return events.run_clustering(stored_items(spark, sf_dir)).select("item_id", "event_id")
 
 
 @query(ISLANDS_SQL + """, big AS (SELECT day, island FROM islands GROUP BY day, island HAVING count(*) >= 2),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shoebox.plans.tables import Scratch
 from shoebox.schema import MEDIA_ITEMS
 
 
@@ -18,8 +19,9 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("e"), "ts", "user_id", "event_type", "value")
     e = e.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("nv"))))  # one number
     e = e.selectExpr("*", "e % nv as k", "cast((e div nv) % 4 as int) as c", "cast((e div (4 * nv)) % 64 as int) as f", "cast((e div 8) % 3 as int) as blk").drop("nv")
-    d = e.join(v, "k").withColumn("r", F.expr("concat(slice(v, f + 1, 64 - f), slice(v, 1, f))"))
-    bits = "aggregate(sequence(0, 63), 0L, (a, i) -> a | if(r[i] > 0, shiftleft(1L, i), 0L))"
+    d = e.repartition(spark.sparkContext.defaultParallelism).join(v, "k")  # the file is small, the rows made of it aren't
+    # element i of the rotated vector is v[(i + f) % 64]; written out, so that no array is built for each bit
+    bits = " | ".join(f"if(v[({i} + f) % 64] > 0, {1 << i if i < 63 else -(1 << 63) + 1}L{'' if i < 63 else ' - 1L'}, 0L)" for i in range(64))
     raw = "c = 0 and event_type <> 'view'"
     none = "cast(null as {})".format
     return d.selectExpr(
@@ -34,13 +36,18 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when k % 7 = 0 then null else concat('SN', blk) end as camera_serial",
         "case when k % 11 = 0 then null else cast(ts as timestamp_ntz) end as timestamp_utc",
         "case when k % 5 = 0 then null else array(35.68D + ((e div 4) % 3) * 0.0001D + if((e div 32) % 5 = 0, 1D, 0D), 139.69D) end as gps",
-        f"case when k % 23 = 0 then null else {bits} ^ (case c when 2 then 7L when 3 then 1L else 0L end) end as p_hash",
-        "concat(array(r[0] + case c when 2 then 0.1D when 3 then 0.5D else 0D end), slice(r, 2, 63)) as dinov2_vector",
+        f"case when k % 23 = 0 then null else ({bits}) ^ (case c when 2 then 7L when 3 then 1L else 0L end) end as p_hash",
+        "concat(array(v[f] + case c when 2 then 0.1D when 3 then 0.5D else 0D end), slice(v, f + 2, 63 - f), slice(v, 1, f)) as dinov2_vector",
         f"{none('double')} as aesthetic_score", f"{none('array<double>')} as crop_rect", "false as color_fix_flag", f"{none('string')} as event_id",
         f"{none('string')} as duplicate_group_id", "true as is_primary_master", f"{none('timestamp_ntz')} as indexed_at",
     ).select(*MEDIA_ITEMS.names)
 
 
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``media_items`` written once, for operators that read the table several times."""
+    return Scratch(spark, "items").write(media_items(spark, sf_dir))
+
+
 #: The same table for DuckDB, as the beginning of a WITH list.
 MEDIA_SQL = """WITH RECURSIVE media_d AS (
     SELECT event_id AS e, ts, user_id, event_type, value, event_id % nv AS k, (event_id // nv) % 4 AS c, (event_id // (4 * nv)) % 64 AS f, (event_id // 8) % 3 AS blk,
