@@ -25,9 +25,17 @@ from shoebox.llm.common import documents, map_texts, sha256
 CACHE = 300_000
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def read_file(path: str) -> bytes:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+def load_ranks(path: str) -> dict[bytes, int]:
+    return parse_ranks(read_file(path))
+
+
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 def byte_chars() -> list[str]:
@@ -55,11 +63,11 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
 class ByteBpe:
     """Encodes and decodes with one vocabulary; ``pieces`` caches (ids, decimal ids, decoded)."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str):
         import regex
         import sentencepiece
 
-        self.ranks = load_ranks(path)
+        self.ranks = parse_ranks(vocabulary)
         order = sorted(self.ranks.values())
         self.rank_of = None if order == list(range(len(order))) else order
         self.bytes_of = {r: t for t, r in self.ranks.items()}
@@ -106,17 +114,19 @@ class ByteBpe:
 
 
 @functools.lru_cache(2)
-def codec(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+def codec(vocabulary: bytes, pattern: str) -> ByteBpe:
+    return ByteBpe(vocabulary, pattern)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256); ids null unless asked for."""
+    """(doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256); ids null unless asked for. The driver reads the
+    vocabulary at ``path`` and sends it to the workers."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(path))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
     def make():
-        bpe = codec(path, pattern)
+        bpe = codec(shared.value, pattern)
 
         def apply(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             n, ids, hashes, decoded = [], [], [], []

@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shoebox.llm.byte_bpe import read_file
 from shoebox.llm.common import documents, id_remainder, lower_words, map_texts, most_frequent
 from shoebox.plans.tables import Scratch
 
@@ -52,11 +53,11 @@ MARK = "▁"
 class Lattice:
     """Forward and backward sums over the segmentations of a word."""
 
-    def __init__(self, path: str, weights: np.ndarray | None = None):
+    def __init__(self, vocabulary: bytes, weights: np.ndarray | None = None):
         import ahocorasick
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=vocabulary)
         self.size = sp.get_piece_size()
         self.end = self.size
         self.bytes = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
@@ -178,8 +179,8 @@ class Block:
 
 
 @functools.lru_cache(1)
-def _lattice(path: str) -> Lattice:
-    return Lattice(path)
+def _lattice(vocabulary: bytes) -> Lattice:
+    return Lattice(vocabulary)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -216,11 +217,11 @@ BLOCKS = "n int, words array<binary>, c binary, groups binary, sizes binary, at
 BLOCK_TYPE = pa.schema([("n", pa.int32()), ("words", pa.list_(pa.binary())), *((x, pa.binary()) for x in ("c", "groups", "sizes", "at", "pieces"))])
 
 
-def word_blocks(types: DataFrame, path: str) -> DataFrame:
+def word_blocks(types: DataFrame, vocabulary) -> DataFrame:
     """The lattices of all word types; one word of more than ``LONG`` characters is a block of its own."""
 
     def run(batches):
-        lattice = _lattice(path)
+        lattice = _lattice(vocabulary.value)
         waiting: dict[int, tuple[list, list, list]] = {}
 
         def block(words, c, marked):
@@ -243,11 +244,11 @@ def word_blocks(types: DataFrame, path: str) -> DataFrame:
     return types.mapInArrow(run, BLOCKS)
 
 
-def expected_pieces(blocks: DataFrame, path: str, weights) -> DataFrame:
+def expected_pieces(blocks: DataFrame, vocabulary, weights) -> DataFrame:
     """(piece, n): expected counts over the training words' segmentations; piece -1 has their log-likelihood."""
 
     def run(batches):
-        lattice = _lattice(path).use(np.frombuffer(weights.value))
+        lattice = _lattice(vocabulary.value).use(np.frombuffer(weights.value))
         into, total = np.zeros(lattice.size + 1), 0.0
         for batch in batches:
             for row in batch.to_pylist():
@@ -266,15 +267,15 @@ def next_weights(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed / mixed.sum()
 
 
-def learn_weights(blocks: DataFrame, path: str, ends: int, gain: float = GAIN) -> np.ndarray:
+def learn_weights(blocks: DataFrame, vocabulary, ends: int, gain: float = GAIN) -> np.ndarray:
     """Expectation-maximisation over the training words and ``ends`` ends."""
-    sc, lattice = blocks.sparkSession.sparkContext, _lattice(path)
+    sc, lattice = blocks.sparkSession.sparkContext, _lattice(vocabulary.value)
     weights, before = lattice.first, -math.inf
     if not ends:
         return weights
     for _ in range(ROUNDS):
         shared = sc.broadcast(weights.tobytes())
-        got = expected_pieces(blocks, path, shared).toArrow()
+        got = expected_pieces(blocks, vocabulary, shared).toArrow()
         shared.unpersist()
         piece, n = got["piece"].to_numpy(), got["n"].to_numpy()
         counts = np.zeros(lattice.size + 1)
@@ -288,11 +289,11 @@ def learn_weights(blocks: DataFrame, path: str, ends: int, gain: float = GAIN) -
     raise RuntimeError(f"the likelihood still grows after {ROUNDS} rounds")
 
 
-def word_scores(blocks: DataFrame, path: str, weights) -> DataFrame:
+def word_scores(blocks: DataFrame, vocabulary, weights) -> DataFrame:
     """(word, c, lp): ``lp`` the natural log of the word's marginal probability."""
 
     def run(batches):
-        lattice = _lattice(path).use(np.frombuffer(weights.value))
+        lattice = _lattice(vocabulary.value).use(np.frombuffer(weights.value))
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.read(row, len(row["words"]))
@@ -348,8 +349,10 @@ def _sums(docs: DataFrame, head) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, path: str, head: int = HEAD, gain: float = GAIN) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). The driver reads the vocabulary at ``path``
+    and sends it to the workers."""
     spark = docs.sparkSession
+    vocabulary = spark.sparkContext.broadcast(read_file(path))
     scratch = Scratch(spark, "lattice")
     docs = docs.select("doc_id", F.coalesce(id_remainder("doc_id", MODULUS) != HELD_OUT, F.lit(True)).alias("train"), "text")
     types = scratch.write(count_words(docs))
@@ -357,11 +360,11 @@ def lm_scores(docs: DataFrame, path: str, head: int = HEAD, gain: float = GAIN)
     total, distinct = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = total + ends, distinct + (ends > 0)
 
-    blocks = scratch.write(word_blocks(types, path))
+    blocks = scratch.write(word_blocks(types, vocabulary))
     scratch.drop(types)
-    weights = learn_weights(blocks, path, ends, gain)
-    end_lp = math.log(weights[_lattice(path).end])
-    scored = scratch.write(word_scores(blocks, path, spark.sparkContext.broadcast(weights.tobytes())))
+    weights = learn_weights(blocks, vocabulary, ends, gain)
+    end_lp = math.log(weights[_lattice(vocabulary.value).end])
+    scored = scratch.write(word_scores(blocks, vocabulary, spark.sparkContext.broadcast(weights.tobytes())))
     scratch.drop(blocks)
     base = -math.log10(n + v + 1)
     top = most_frequent(scored.where(F.length("word") <= HEAD_BYTES), "c", head).toArrow()

@@ -54,7 +54,7 @@ def test_pipeline(spark, tmp_path):
         assert sorted(r.doc_id for r in df.select("doc_id").collect()) == sorted(i for i, _ in state)
     text = dict(state)
     path, pattern = byte_bpe.default_vocabulary()
-    codec = byte_bpe.codec(path, pattern)
+    codec = byte_bpe.codec(byte_bpe.read_file(path), pattern)
     assert all(codec.decode(r.ids).decode() == text[r.doc_id] for r in df.collect())
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect()} == {tuple(r) for r in df.select("doc_id", "ids_sha256").collect()}
 
