@@ -129,5 +129,14 @@ class Store:
         """``change``: a function of the media table, such as a partial of one above."""
         self._commit(change(self.items()), "media_items")
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all but the last ``keep`` versions of both tables; readers of older ones fail. Gives how many went."""
+        gone = 0
+        for name in ("media_items", "scan_log"):
+            pointers = sorted((s.getPath().getName() for s in self._fs.listStatus(self._p(name, "current"))), key=lambda x: int(x.split("-", 1)[0]))
+            for pointer in pointers[: -max(1, keep)]:
+                gone += self._fs.delete(self._p(name, pointer.split("-", 1)[1]), True)
+        return gone
+
     def append_log(self, new: DataFrame) -> None:
         self._commit(append_log(self.log(), new), "scan_log")

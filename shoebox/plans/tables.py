@@ -28,18 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, deleted when the driver's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(p)  # only what is there can be marked
+    files.deleteOnExit(p)
+    return path
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all written tables of this library in the shared folder; results that still read them fail."""
     Scratch(spark, "clear")._delete(f"{shared_dir(spark)}/shoebox")
 
 
 class Scratch:
-    """A family of written tables that one query needs. ``drop`` frees a table early."""
+    """A family of written tables that one query needs. ``drop`` frees a table early; all go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/shoebox/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = passing(spark, f"{shared_dir(spark)}/shoebox/{name}-{uuid.uuid4().hex[:12]}")
         self.n = 0
 
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:

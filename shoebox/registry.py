@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shoebox.functions import scalar as S, vectors as V
 from shoebox.operators import dedup, events, hamming, knn, library, store, visual, xmp
 from shoebox.plans.ship import ship
-from shoebox.plans.tables import shared_dir
+from shoebox.plans.tables import passing, shared_dir
 from shoebox.schema import MEDIA_ITEMS
 from shoebox.testdata import MEDIA_SQL, media_items, read, stored_items
 
@@ -575,7 +575,7 @@ def fixture_tree(spark: SparkSession, root: str) -> str:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one, as a path."""
-    path = f"{shared_dir(spark)}/shoebox/{name}-{uuid.uuid4().hex[:12]}".removeprefix("file://")
+    path = passing(spark, f"{shared_dir(spark)}/shoebox/{name}-{uuid.uuid4().hex[:12]}").removeprefix("file://")
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     return path
@@ -643,7 +643,7 @@ def embed_images(spark, sf_dir):
 
 
 def _library(spark, root):
-    found = store.Store(spark, f"{shared_dir(spark)}/shoebox/store-{uuid.uuid4().hex[:12]}")
+    found = store.Store(spark, passing(spark, f"{shared_dir(spark)}/shoebox/store-{uuid.uuid4().hex[:12]}"))
     library.scan_directory(found, root)
     return found
 

@@ -6,6 +6,7 @@ nChannels, data) rows; everything after is NumPy over Arrow batches, one image a
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import numpy as np
@@ -31,6 +32,21 @@ def decode(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
+#: Of those, suffixes that the JVM's reader lacks; Pillow makes PNGs of them where it is installed.
+OTHERS = (".webp",)
+
+
+def as_png(data: bytes) -> bytes:
+    """``data`` as a PNG, or as it is without Pillow."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return data
+    out = io.BytesIO()
+    Image.open(io.BytesIO(data)).convert("RGB").save(out, "PNG")
+    return out.getvalue()
+
+
 def load(spark: SparkSession, files: DataFrame, cache: str, root: str = "") -> DataFrame:
     """(path, height, width, nChannels, data, error) of every file of ``files`` (path): its own bytes where they are
     directly decodable, else its embedded preview. Both go to ``cache``, a folder that all executors reach, under a
@@ -48,6 +64,8 @@ def load(spark: SparkSession, files: DataFrame, cache: str, root: str = "") -> D
                     whole = path.lower().endswith(DIRECT)
                     with system.open_input_stream(path) as f:
                         data = f.read() if whole else marker_preview(f.read(SCAN_LIMIT))
+                    if data and path.lower().endswith(OTHERS):
+                        data = as_png(data)
                     if data:
                         with out.open_output_stream(name) as f:
                             f.write(data)

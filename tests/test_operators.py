@@ -251,6 +251,9 @@ def test_store(spark, tmp_path):
     assert [(r.id, r.path, r.status, r.message) for r in s.log().orderBy("id").collect()] == [(1, "/a", "ok", None), (2, "/b", "error", "bad header"), (3, "/c", "ok", None)]
     again = store.Store(spark, str(tmp_path / "db"))
     assert again.count() == 2
+    assert s.vacuum(2) == 3 and s.vacuum(2) == 0 and again.count() == 2 and again.log().count() == 3
+    s.batch_upsert(items(spark, item("c")))
+    assert again.count() == 3
 
 
 def test_failed_write_changes_nothing(spark, tmp_path):
