@@ -217,6 +217,12 @@ BLOCKS = "n int, words array<binary>, c binary, groups binary, sizes binary, at
 BLOCK_TYPE = pa.schema([("n", pa.int32()), ("words", pa.list_(pa.binary())), *((x, pa.binary()) for x in ("c", "groups", "sizes", "at", "pieces"))])
 
 
+def block_rows(batch: pa.RecordBatch):
+    """One block's row at a time: a batch holds many MB."""
+    for i in range(batch.num_rows):
+        yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
 def word_blocks(types: DataFrame, vocabulary) -> DataFrame:
     """The lattices of all word types; one word of more than ``LONG`` characters is a block of its own."""
 
@@ -251,7 +257,7 @@ def expected_pieces(blocks: DataFrame, vocabulary, weights) -> DataFrame:
         lattice = _lattice(vocabulary.value).use(np.frombuffer(weights.value))
         into, total = np.zeros(lattice.size + 1), 0.0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in block_rows(batch):
                 times = np.frombuffer(row["c"], np.int64).astype(float)
                 if times.any():
                     total += Block.read(row, len(times)).expect(lattice, times, into)
@@ -295,7 +301,7 @@ def word_scores(blocks: DataFrame, vocabulary, weights) -> DataFrame:
     def run(batches):
         lattice = _lattice(vocabulary.value).use(np.frombuffer(weights.value))
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in block_rows(batch):
                 block = Block.read(row, len(row["words"]))
                 lp = block.forward(lattice.edge_logs(block.pieces))[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(row["words"], pa.binary()), pa.array(np.frombuffer(row["c"], np.int64)), pa.array(lp)], ["word", "c", "lp"])
