@@ -90,6 +90,21 @@ def media(text):
     return n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()
 
 
+def feature(text):
+    """Mean and deviation of the samples, and which of 8 x 8 areas are brighter than their mean."""
+    p, _ = payload(text)
+    mean = sum(p) / len(p)
+    dev = math.sqrt(sum((x - mean) ** 2 for x in p) / len(p))
+    rows, areas, at = len(p) // 64, [], 0
+    for band in range(8):
+        n = rows // 8 + (band < rows % 8)
+        for column in range(8):
+            areas.append(sum(p[r * 64 + column * 8 + k] for r in range(at, at + n) for k in range(8)) / n if n else 0.0)
+        at += n
+    bits = "".join("1" if x > sum(areas) / 64 + 1e-9 else "0" for x in areas)
+    return f"mean={mean:.4f};dev={dev:.4f};hash={int(bits, 2):016x}"
+
+
 def leaks(docs, items, similar=0.8, part=0.5):
     """Documents with the item's five-word shingles, and the three-word ones of its question and its answer."""
     terms = lambda t: re.findall(r"[^\W_]+", (t or "").lower())

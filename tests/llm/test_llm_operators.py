@@ -375,8 +375,8 @@ def test_covered():
 
 @pytest.mark.parametrize("bits", [media.FILTER_BITS, 64])
 def test_media(spark, table, docs, empty, bits):
-    got = media.media_columns(table, bits).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256").collect()
-    assert order(got) == order((i, *brute.media(t)) for i, t in docs)
+    got = media.media_columns(table, bits).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").collect()
+    assert order(got) == order((i, *brute.media(t), brute.feature(t)) for i, t in docs)
     assert media.media_columns(empty, bits).count() == 0
 
 
