@@ -7,6 +7,8 @@ compare equal.
 from __future__ import annotations
 
 import os
+import shutil
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +18,7 @@ from shoebox.operators import dedup, events, hamming, knn, library, store, visua
 from shoebox.plans.ship import ship
 from shoebox.plans.tables import passing, shared_dir
 from shoebox.schema import MEDIA_ITEMS
-from shoebox.testdata import MEDIA_SQL, media_items, read, stored_items
+from shoebox.testdata import MEDIA_SQL, exif_jpeg, media_items, read, stored_items
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -666,6 +668,100 @@ def run_embeddings(spark, sf_dir):
     return found.items().select(F.substring("file_path", len(root) + 2, 1000).alias("name"), "p_hash", "aesthetic_score", F.size("dinov2_vector").alias("dim"))
 
 
+@query(f"SELECT name, row_number() OVER (ORDER BY name) AS n FROM {_FILES}", media=False)
+def listing_order(spark, sf_dir):
+    from shoebox.sources import files
+
+    root = _tree(spark)
+    found = dedup.number_rows(files.list_files(spark, root), [F.col("path").asc()], "n")
+    return found.select(F.substring("path", len(root) + 2, 1000).alias("name"), "n")
+
+
+@query(f"SELECT name, file_size::BIGINT AS file_size, file_format FROM {_FILES} WHERE name NOT SIMILAR TO '(.*/)?[._][^/]*'", media=False)
+def stream_ingest(spark, sf_dir):
+    """New files of a folder as a stream, upserted; run twice, which changes nothing."""
+    from shoebox.streaming import ingest
+
+    root, checkpoint = _tree(spark), _folder(spark, "stream")
+    found = store.Store(spark, passing(spark, f"{shared_dir(spark)}/shoebox/store-{uuid.uuid4().hex[:12]}"))
+    for _ in range(2):
+        ingest.ingest(spark, root, found, checkpoint).awaitTermination()
+    return found.items().select(F.substring("file_path", len(root) + 2, 1000).alias("name"), "file_size", "file_format")
+
+
+_TAKEN = (("a.jpg", "Canon", "2024:06:01 10:20:30", ("S", 35, 30, 36), ("W", 10, 0, 0)), ("b.jpg", "Sony", "2023:12:31 23:59:59", ("N", 0, 45, 0), ("E", 179, 59, 60)))
+
+
+@query("SELECT * FROM (VALUES ('a.jpg', 'Canon', '2024-06-01 10:20:30', -35.51, -10.0), ('b.jpg', 'Sony', '2023-12-31 23:59:59', 0.75, 180.0)) f(name, make, taken, lat, lon)".replace("SELECT *", "SELECT name, make, taken, lat::DOUBLE AS lat, lon::DOUBLE AS lon"), media=False)
+def exif_files(spark, sf_dir):
+    """Make, time and position of JPEGs, read from their bytes."""
+    from shoebox.sources import files
+
+    root = _folder(spark, "exif")
+    for name, *rest in _TAKEN:
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(exif_jpeg(*rest))
+    time = F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss")
+    return files.scan(spark, root).select(F.substring("file_path", len(root) + 2, 100).alias("name"), F.col("camera_make").alias("make"), time.alias("taken"), F.round(F.col("gps")[0], 8).alias("lat"), F.round(F.col("gps")[1], 8).alias("lon"))
+
+
+#: Stands in for exiftool: it answers for the files that it is given, but for names with a 9.
+_TOOL = """#!{python}
+import json, sys
+assert sys.argv[1:3] == ["-j", "-n"]
+print(json.dumps([{"SourceFile": p, "Make": " Nikon ", "Model": "Z", "SerialNumber": 77, "ModifyDate": "2022:01:02 03:04:05", "Orientation": 6, "GPSLatitude": -1.5, "GPSLongitude": 2.25} for p in sys.argv[3:] if "9" not in p.rsplit("/", 1)[-1]]))
+"""
+
+
+@query("SELECT name, make, serial, taken, lat::DOUBLE AS lat, orientation::INT AS orientation, source FROM (VALUES ('p1.nef', 'Nikon', '77', '2022-01-02 03:04:05', -1.5, 6, 'exiftool'), ('p9.nef', 'Nikon', NULL, NULL, NULL, NULL, 'rawpy')) f(name, make, serial, taken, lat, orientation, source)", media=False)
+def exiftool_scan(spark, sf_dir):
+    """A scan through an external tool; what it doesn't answer for falls back to the own reader."""
+    from shoebox.sources import files
+
+    root, tool = _folder(spark, "raw"), _folder(spark, "tool") + "/exiftool"
+    for name in ("p1.nef", "p9.nef"):
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(b"nothing")
+    with open(tool, "w") as f:
+        f.write(_TOOL.replace("{python}", sys.executable))
+    os.chmod(tool, 0o755)
+    rows, time = files.scan(spark, root, exiftool=tool), F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss")
+    return rows.select(F.substring("file_path", len(root) + 2, 100).alias("name"), F.col("camera_make").alias("make"), F.col("camera_serial").alias("serial"), time.alias("taken"), F.col("gps")[0].alias("lat"), "orientation", "source")
+
+
+@query("SELECT name, vector, status FROM (VALUES ('bad.dng', FALSE, 'error'), ('good.jpg', TRUE, 'ok')) f(name, vector, status)", media=False)
+def failed_embeddings(spark, sf_dir):
+    """A file without a usable image stays in the store without signals."""
+    from shoebox.sources import images
+
+    tree, root = _tree(spark), _folder(spark, "mixed")
+    shutil.copy(f"{tree}/photo.jpg", f"{root}/good.jpg")
+    with open(f"{root}/bad.dng", "wb") as f:
+        f.write(b"no image here")
+    found = _library(spark, root)
+    results, _ = library.run_embeddings(found, _folder(spark, "previews"), root)
+    status = store.scan_status(results).select(F.col("path").alias("file_path"), "status")
+    return found.items().join(status, "file_path").select(F.substring("file_path", len(root) + 2, 100).alias("name"), F.col("dinov2_vector").isNotNull().alias("vector"), "status")
+
+
+@query(" SELECT item_id, file_size + CASE WHEN " + _N + " % 2 = 0 THEN 1 ELSE 0 END AS file_size FROM media_items")
+def store_reopened(spark, sf_dir):
+    """Open a store, put the table in, update half of it, open it again and read."""
+    path = passing(spark, f"{shared_dir(spark)}/shoebox/store-{uuid.uuid4().hex[:12]}")
+    first = store.Store(spark, path)
+    first.batch_upsert(media_items(spark, sf_dir))
+    half = _numbered(first.items()).where("_n % 2 = 0").withColumn("file_size", F.col("file_size") + 1)
+    first.batch_upsert(half.select(*MEDIA_ITEMS.names))
+    return store.Store(spark, path).items().select("item_id", "file_size")
+
+
+@query(" SELECT item_id, '/thumbs/' || substr(sha256(file_path), 1, 32) || '.jpg' AS preview FROM media_items")
+def preview_paths(spark, sf_dir):
+    from shoebox.sources import files
+
+    return media_items(spark, sf_dir).select("item_id", files.preview_column("file_path", "/thumbs").alias("preview"))
+
+
 @query(f" SELECT count(*) AS processed, count(*) FILTER (message IS NULL) AS ok, count(message) AS failed FROM ({_RESULTS})")
 def embedding_stats(spark, sf_dir):
     from shoebox.sources import images

@@ -18,7 +18,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shoebox.functions.scalar import EXTENSION_HINTS, JPEG_SUFFIXES, RAW_SUFFIXES, detect_format, exif_timestamp, gps_from_dms, int_or_none, suffix
 from shoebox.plans.tables import Scratch
@@ -205,3 +205,8 @@ def scan(spark: SparkSession, root: str, exiftool: str | None = None, previews:
 def preview_path(path: str, thumbs: str) -> str:
     """A name for a preview that no other file shares."""
     return f"{thumbs.rstrip('/')}/{hashlib.sha256(path.encode()).hexdigest()[:32]}.jpg"
+
+
+def preview_column(path: str, thumbs: str) -> Column:
+    """``preview_path`` of a column."""
+    return F.concat(F.lit(thumbs.rstrip("/") + "/"), F.sha2(F.col(path).cast("binary"), 256).substr(1, 32), F.lit(".jpg"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoebox.plans.tables import Scratch
@@ -69,3 +71,18 @@ MEDIA_SQL = """WITH RECURSIVE media_d AS (
     list_concat([r[1] + CASE c WHEN 2 THEN 0.1::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0::DOUBLE END], r[2:64]) AS dinov2_vector,
     NULL::DOUBLE AS aesthetic_score, NULL::DOUBLE[] AS crop_rect, FALSE AS color_fix_flag, NULL::VARCHAR AS event_id, NULL::VARCHAR AS duplicate_group_id, TRUE AS is_primary_master,
     NULL::TIMESTAMP AS indexed_at FROM media_h)"""
+
+
+def exif_jpeg(make: str, taken: str, lat: tuple[str, int, int, int], lon: tuple[str, int, int, int]) -> bytes:
+    """A JPEG of markers alone, with make, time and position (reference letter, degrees, minutes, seconds)."""
+    texts = make.encode() + b"\0", taken.encode() + b"\0"
+    sub_at, gps_at, heap = 50, 68, 122
+    at = [heap, heap + len(texts[0])]
+    at += [at[1] + len(texts[1]), at[1] + len(texts[1]) + 24]
+    entry = lambda tag, kind, n, value: struct.pack("<HHII", tag, kind, n, value)
+    directory = lambda *rows: struct.pack("<H", len(rows)) + b"".join(rows) + struct.pack("<I", 0)
+    block = b"II*\0" + struct.pack("<I", 8) + directory(entry(0x010F, 2, len(texts[0]), at[0]), entry(0x8769, 4, 1, sub_at), entry(0x8825, 4, 1, gps_at))
+    block += directory(entry(0x9003, 2, len(texts[1]), at[1]))
+    block += directory(entry(1, 2, 2, ord(lat[0])), entry(2, 5, 3, at[2]), entry(3, 2, 2, ord(lon[0])), entry(4, 5, 3, at[3]))
+    block += b"".join(texts) + b"".join(struct.pack("<II", x, 1) for x in (*lat[1:], *lon[1:]))
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(block) + 8) + b"Exif\0\0" + block + b"\xff\xd9"
