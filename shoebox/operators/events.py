@@ -2,14 +2,15 @@
 
 The walk is sequential by definition: whether a photo joins depends on the body that opened the
 current event and on the positions of its members. Rows are partitioned by day, sorted, and
-streamed: a task holds the current event's distinct positions, never a day.
+streamed: a task holds the current event's distinct positions, never a day, in cubes of the distance, so that a photo is
+compared with those of its neighbourhood.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -38,15 +39,29 @@ class Walk:
         self.gap, self.meters = gap_minutes * 60e6, meters
         self.day, self.event = None, -1
 
+    def cell(self, lat: float, lon: float) -> tuple[int, int, int]:
+        """The cube of ``meters`` that a position is in; positions within ``meters`` are in neighbouring cubes."""
+        a, b, size = math.radians(lat), math.radians(lon), max(self.meters, 1.0) * (1 + 1e-6) / EARTH_RADIUS_M
+        return math.floor(math.cos(a) * math.cos(b) / size), math.floor(math.cos(a) * math.sin(b) / size), math.floor(math.sin(a) / size)
+
     def near(self, lat: float, lon: float) -> bool:
-        if not self.points:
+        if not self.points or not (math.isfinite(lat) and math.isfinite(lon)):
             return False
         if (lat, lon) in self.points:
             return True
-        p = np.radians(np.array(list(self.points)))
+        x, y, z = self.cell(lat, lon)
         a, b = math.radians(lat), math.radians(lon)
-        h = np.sin((a - p[:, 0]) / 2) ** 2 + math.cos(a) * np.cos(p[:, 0]) * np.sin((b - p[:, 1]) / 2) ** 2
-        return bool((2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(h))) <= self.meters).any())
+        for at in itertools.product((x - 1, x, x + 1), (y - 1, y, y + 1), (z - 1, z, z + 1)):
+            for p, q in self.cells.get(at, ()):
+                h = math.sin((a - p) / 2) ** 2 + math.cos(a) * math.cos(p) * math.sin((b - q) / 2) ** 2
+                if 2 * EARTH_RADIUS_M * math.asin(min(1, math.sqrt(h))) <= self.meters:
+                    return True
+        return False
+
+    def add(self, lat: float, lon: float) -> None:
+        if (lat, lon) not in self.points and math.isfinite(lat) and math.isfinite(lon):
+            self.points.add((lat, lon))
+            self.cells.setdefault(self.cell(lat, lon), []).append((math.radians(lat), math.radians(lon)))
 
     def step(self, day, ts, body, gps) -> int:
         """``ts`` in microseconds or null; ``gps`` a pair or null."""
@@ -60,11 +75,11 @@ class Walk:
             opens = not (close and has and self.near(gps[0], gps[1]))
             self.event += opens
         if opens:
-            self.body, self.last, self.points = body, None, set()
+            self.body, self.last, self.points, self.cells = body, None, set(), {}
         if ts is not None:
             self.last = ts
         if has:
-            self.points.add((gps[0], gps[1]))
+            self.add(gps[0], gps[1])
         return self.event
 
 

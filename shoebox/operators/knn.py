@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shoebox.functions.vectors import dot, norm
+from shoebox.plans.tables import Scratch
 
 
 def nearest_neighbors(items: DataFrame, query: list[float], limit: int = 20, exclude: list[str] | DataFrame | None = None, id_col: str = "item_id", vector: str = "dinov2_vector") -> DataFrame:
@@ -30,7 +33,8 @@ def knn_batch(items: DataFrame, queries: DataFrame, limit: int = 10, id_col: str
     """(query_id, id, similarity, rank) of the ``limit`` most similar vectors of each query.
 
     Queries (query_id, vector) go in blocks of ``block``, the size of the broadcast; each scan keeps the best of
-    a batch per query (matrix products), so ``limit`` rows per query and batch are shuffled.
+    a batch per query (matrix products), so ``limit`` rows per query and batch are shuffled. Results of all blocks but
+    the last are written, a scan at a time. A query_id stands for one vector.
     """
     spark = items.sparkSession
     rows = items.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
@@ -58,29 +62,24 @@ def knn_batch(items: DataFrame, queries: DataFrame, limit: int = 10, id_col: str
                     qi, at = np.nonzero(np.isfinite(sim))
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi.tolist()]), part.column("id").take(pa.array(at)), pa.array(sim[qi, at])], ["query_id", "id", "similarity"])
 
-
         return rows.mapInArrow(run, f"query_id {q_type}, id {id_type}, similarity double")
 
-    found, ids, vectors = None, [], []
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    scratch, blocks, ids, vectors = Scratch(spark, "neighbours"), [], [], []
+
+    def best() -> DataFrame:
+        q = np.array(vectors)
+        length = np.linalg.norm(q, axis=1)
+        found = scan([i for i, n in zip(ids, length) if n], q[length > 0] / length[length > 0][:, None])
+        return found.withColumn("rank", rank).where(F.col("rank") <= limit)
 
-    def flush():
-        nonlocal found, ids, vectors
-        if ids:
-            q = np.array(vectors)
-            keep = np.linalg.norm(q, axis=1)
-            part = scan([i for i, n in zip(ids, keep) if n], q[keep > 0] / keep[keep > 0][:, None])
-            found = part if found is None else found.unionByName(part)
+    wanted = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    for row in wanted.orderBy(F.size("vector"), "query_id").toLocalIterator():
+        if vectors and (len(ids) == block or len(row["vector"]) != len(vectors[0])):
+            blocks.append(scratch.write(best()))
             ids, vectors = [], []
-
-    for row in queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").toLocalIterator():
-        if vectors and len(row["vector"]) != len(vectors[0]):
-            flush()
         ids.append(row["query_id"])
         vectors.append(row["vector"])
-        if len(ids) == block:
-            flush()
-    flush()
-    if found is None:
-        found = spark.createDataFrame([], f"query_id {q_type}, id {id_type}, similarity double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+    if not ids:
+        return spark.createDataFrame([], f"query_id {q_type}, id {id_type}, similarity double, rank int")
+    return functools.reduce(DataFrame.unionByName, [*blocks, best()])

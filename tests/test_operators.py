@@ -300,3 +300,25 @@ def test_xmp_sink(spark, tmp_path):
     assert (tmp_path / "a.jpg.xmp").read_text().startswith("<?xml")
     with pytest.raises(ValueError):
         xmp.write_sidecars(rows, "one.xmp")
+
+
+def test_neighbourhood_is_exact():
+    """Cubes find what comparing with every position finds, also at the poles and the date line."""
+    rng = random.Random(7)
+    base = [(35.68, 139.69), (89.9999, 10.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -179.9999), (60.0, -0.0001)]
+    metres = lambda p, q: 2 * events.EARTH_RADIUS_M * math.asin(min(1, math.sqrt(math.sin(math.radians(p[0] - q[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(p[1] - q[1]) / 2) ** 2)))
+    seen = set()
+    for limit in (0.0, 5.0, 50.0, 5e6):
+        walk = events.Walk(meters=limit)
+        walk.points, walk.cells, every = set(), {}, []
+        for _ in range(300):
+            a, b = rng.choice(base)
+            p = (max(-90.0, min(90.0, a + rng.gauss(0, 4e-4))), b + rng.gauss(0, 4e-4) * rng.choice((1, 100)))
+            want = any(metres(p, q) <= limit for q in every)
+            seen.add((limit, want))
+            assert walk.near(*p) == want
+            walk.add(*p)
+            every.append(p)
+        assert walk.near(*every[0]) and not walk.near(math.nan, 0.0) and not walk.near(0.0, math.inf)
+        walk.add(math.nan, 1.0)
+    assert {(5.0, True), (5.0, False), (50.0, True), (50.0, False)} <= seen
