@@ -27,9 +27,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from shoebox.llm.common import documents, id_remainder, map_texts, table, words_of
+from shoebox.llm.common import chunks, documents, free, id_remainder, map_texts, table, words_of
 from shoebox.plans.ship import ship
 from shoebox.plans.tables import Scratch
 
@@ -225,8 +225,6 @@ def keep_good(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        from shoebox.llm.common import chunks
-
         m = shared.value
         for part, texts in chunks(batches):
             yield part.filter(pa.array(score(m, np.array([features(t) for t in texts], np.float32)) >= least))
@@ -235,6 +233,28 @@ def keep_good(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def keep_trained(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score under the model of its training rows is ``least`` or more. Features
+    are computed once and written beside the rows."""
+    scratch, (name,) = Scratch(docs.sparkSession, "quality"), free(docs, "x")
+
+    def describe(batches):
+        for part, texts in chunks(batches):
+            x = pa.array([features(t).astype(np.float32).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, x], [*part.schema.names, name])
+
+    rows = scratch.write(docs.mapInArrow(describe, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])))
+    shared = docs.sparkSession.sparkContext.broadcast(train_on(rows.select("doc_id", F.col(name).alias("x")), labels, scratch))
+
+    def choose(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(pa.RecordBatch.from_arrays([batch.column(name)], ["x"]))
+                yield batch.drop_columns([name]).filter(pa.array(score(shared.value, x) >= least))
+
+    return rows.mapInArrow(choose, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
     rows = scratch.write(feature_rows(documents(spark, sf_dir)))

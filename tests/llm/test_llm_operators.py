@@ -83,6 +83,10 @@ def test_quality(spark, learnt, table, empty):
     assert quality.score_documents(empty, model).count() == 0
     kept = quality.keep_good(table, model)
     assert kept.columns == table.columns and kept.count() == sum(r.score >= 0.5 for r in odd)
+    for some in (docs, table.withColumn("x", F.lit("taken"))):
+        one, two = quality.keep_trained(some, labels), quality.keep_good(some, quality.train(some, labels))
+        assert one.schema == some.schema and order((r.doc_id, r.text) for r in one.collect()) == order((r.doc_id, r.text) for r in two.collect())
+    assert quality.keep_trained(empty, labels).count() == 0
     none = quality.train(empty, labels.limit(0))
     assert all(r.score == pytest.approx(0.5) for r in quality.score_documents(table, none).collect())
 
