@@ -24,14 +24,15 @@ def classes(items: DataFrame) -> DataFrame:
     return have.groupBy("h", "v").agg(F.min("item_id").alias("rep"), F.count("*").alias("n"))
 
 
-def class_pairs(c: DataFrame, max_bits: int = PHASH_BITS) -> DataFrame:
-    """(x, y, n, similarity): every two different classes whose hashes are near; n item pairs each."""
-    near = near_hashes(c.select("h").distinct(), max_bits).select("a", "b")
+def confirmed_pairs(c: DataFrame, near: DataFrame, least: float = COSINE) -> DataFrame:
+    """(x, y, n): every two different classes of equal or near hashes (``near``: a, b) whose cosine is ``least`` or more;
+    n item pairs each. Others are compared within the join and make no row."""
     one = c.select(F.col("rep").alias("x"), F.col("h").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
     two = c.select(F.col("rep").alias("y"), F.col("h").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    apart = near.join(one, "a").join(two, "b")
-    same = one.join(two, one.a == two.b).where("x < y")
-    cols = ("x", "y", (F.col("na") * F.col("nb")).alias("n"), cosine("va", "vb").alias("similarity"))
+    alike = cosine("va", "vb") >= least
+    apart = near.select("a", "b").join(one, "a").join(two, "b").where(alike)
+    same = one.join(two, (one.a == two.b) & (one.x < two.y) & alike)
+    cols = ("x", "y", (F.col("na") * F.col("nb")).alias("n"))
     return apart.select(*cols).unionByName(same.select(*cols))
 
 
@@ -48,12 +49,12 @@ def components(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSI
     """(item_id, component) of every item in a duplicate group; component is the least member id."""
     scratch = Scratch(items.sparkSession, "dedup")
     c = scratch.write(classes(items))
-    return _components(items, c, class_pairs(c, max_bits), least, scratch)
+    return _components(items, c, confirmed_pairs(c, near_hashes(c.select("h").distinct(), max_bits), least), least, scratch)
 
 
 def _components(items: DataFrame, c: DataFrame, pairs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """``components`` from classes and their pairs."""
-    links = pairs.where(F.col("similarity") >= least).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    """``components`` from classes and their confirmed pairs."""
+    links = pairs.select(F.col("x").alias("src"), F.col("y").alias("dst"))
     found = connected_components(links, scratch).withColumnRenamed("node", "rep")
     own = c.where((F.col("n") > 1) & (norm("v") > 0) & F.lit(least <= 1)).select("rep", F.lit(True).alias("copies"))
     linked = c.join(found, "rep", "left").join(own, "rep", "left")
@@ -110,13 +111,16 @@ def stats(items: DataFrame, max_bits: int = PHASH_BITS, least: float = COSINE) -
     """One row: scanned, pairs_checked, pairs_confirmed, groups, confirmed_duplicates, masters, derivatives."""
     scratch = Scratch(items.sparkSession, "stats")
     c = scratch.write(classes(items))
-    near = scratch.write(class_pairs(c, max_bits))
-    pairs = near.select("n", "similarity")
-    within = c.where("n > 1").select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"), cosine("v", "v").alias("similarity"))
-    tally = pairs.unionByName(within).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("pairs_checked"), F.coalesce(F.sum(F.when(F.col("similarity") >= least, F.col("n"))), F.lit(0)).alias("pairs_confirmed")
-    )
-    found = _components(items, c, near, least, scratch).agg(F.count("*").alias("confirmed_duplicates"), F.countDistinct("component").alias("groups"))
+    near = scratch.write(near_hashes(c.select("h").distinct(), max_bits))
+    pairs = scratch.write(confirmed_pairs(c, near, least))
+    # pairs that share a hash or have near ones, from the items of each hash
+    held = scratch.write(c.groupBy("h").agg(F.sum("n").alias("n")))
+    apart = near.join(held.toDF("a", "na"), "a").join(held.toDF("b", "nb"), "b").select((F.col("na") * F.col("nb")).alias("n"))
+    checked = apart.unionByName(held.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs_checked"))
+    copies = c.where((F.col("n") > 1) & (cosine("v", "v") >= least)).select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))
+    confirmed = pairs.select("n").unionByName(copies).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs_confirmed"))
+    tally = checked.crossJoin(confirmed)
+    found = _components(items, c, pairs, least, scratch).agg(F.count("*").alias("confirmed_duplicates"), F.countDistinct("component").alias("groups"))
     out = items.agg(F.count("*").alias("scanned")).crossJoin(tally).crossJoin(found)
     return out.select("scanned", "pairs_checked", "pairs_confirmed", "groups", "confirmed_duplicates", F.col("groups").alias("masters"), (F.col("confirmed_duplicates") - F.col("groups")).alias("derivatives"))
 
