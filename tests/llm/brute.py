@@ -141,7 +141,7 @@ def novel(text, novelty, context=120):
 
     primed = zstandard.ZstdCompressionDict(novelty.dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     primed.precompute_compress(level=3)
-    size = lambda t: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(novelty.ballast + t.encode()))
+    size = lambda ballast, t: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(ballast + t.encode()))
     words = [m.span() for m in re.finditer(r"(?ai)passw|passphrase|secret|token|api[_ -]?key|credential|private|bearer|authorization|signature|access[_ -]?key|client[_ -]?id", text)]
     base = [tuple(map(int, x.split(":")[1:])) for x in secrets(text)[2]]
     out, at = [], 0
@@ -162,7 +162,7 @@ def novel(text, novelty, context=120):
         if e - s < 8 or not near or any(a < e and b > s for a, b in base):
             continue
         around = text[max(0, s - context) : s] + text[e : e + context] + " "
-        cost = (size(around + text[s:e]) - size(around)) / len(text[s:e].encode())
+        cost = sum(size(b, around + text[s:e]) - size(b, around) for b in novelty.ballasts) / len(novelty.ballasts) / len(text[s:e].encode())
         row = sum(e - s >= x for x in (8, 10, 12, 14, 16, 20, 24, 32)) - 1 + 8 * any(c.isalpha() for c in text[s:e])
         if cost > novelty.least[row]:
             out.append(("novel", s, e))
