@@ -18,8 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is trained on the stage's own input."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs.select(*COLUMNS), model)
+    return quality.keep_trained(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
