@@ -8,11 +8,12 @@ Strings that the surroundings or the dictionary explain cost little, random ones
 reaches the threshold of its class is reported as ``novel``, unless a base span overlaps it.
 
 The dictionary holds the ``FREQUENT`` most frequent words of the whole corpus (counted in all documents by
-Spark) and common words of code. A fixed ballast of ordinary strings precedes every text, so that a
-few bytes more don't switch the compressor's literal coding, and the mean over ``BALLASTS`` of them tells fractions of a byte. Thresholds are calibrated on labelled insertions: ordinary
-strings (rare corpus words, identifiers, paths, hosts, dates, versions, numbers) are put into ordinary
+Spark) and common words of code. A fixed ballast of ordinary strings, made of these and of the words that follow in frequency, precedes every text, so that a
+few bytes more don't switch the compressor's literal coding, and the mean over ``BALLASTS`` of them tells fractions of a byte. Thresholds are calibrated on insertions: ordinary
+strings (words, identifiers, paths, hosts, dates, versions, numbers) are put into ordinary
 text, and a threshold is what a share of ``FALSE`` of them exceed, for strings with letters and numbers
-apart and for each of the ``LENGTHS``.
+apart and for each of the ``LENGTHS``. Every word of the corpus stands in one of these strings at least; tasks measure
+them, and the shares are exact, taken over all of them.
 
 Defined cases: a null or empty text has no spans; spans are code points, end exclusive, sorted by
 start and then kind as listed in ``KINDS``; repeated rows give repeated rows; only ``doc_id`` and
@@ -25,12 +26,13 @@ import random
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import documents, hash_sample, map_texts, most_frequent, sha256
+from shoebox.llm.common import documents, map_texts, most_frequent, sha256
 from shoebox.plans.tables import Scratch
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -43,7 +45,12 @@ CANDIDATE = re.compile(r"""[^\s"'`<>(){}\[\],;|]{8,}""")
 NAME, MARKS = re.compile(r"[A-Za-z_][\w.-]*[=:]+"), ".:!?"
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[_ -]?key|credential|private|bearer|authorization|signature|access[_ -]?key|client[_ -]?id", re.I | re.A)
 LETTERS = re.compile(r"[^\W\d_]{3,40}")
-CONTEXT, FREQUENT, RARE, FALSE, LENGTHS, INSERTIONS, BALLAST, BALLASTS, LEVEL = 120, 4_000, 4_000, 0.01, (8, 10, 12, 14, 16, 20, 24, 32), 12_000, 1_500, 4, 3
+CONTEXT, FREQUENT, FALSE, LENGTHS, BALLAST, BALLASTS, LEVEL = 120, 4_000, 0.01, (8, 10, 12, 14, 16, 20, 24, 32), 1_500, 4, 3
+#: Words of a bucket and of a task, and those whose strings share their surroundings; the words of a small corpus are used again until
+#: so many were put in.
+BUCKET, TASK, GROUP, INSERTIONS = 64, 32_768, 16, 24_000
+#: A number follows every so many strings.
+NUMBER = 3
 #: Common words of code and configuration.
 CODE = (
     "import from return class def function public static private string const variable null true false none self this new that with when then else while break "
@@ -60,12 +67,9 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
     def make():
         def apply(batch, texts):
-            raw, words = Counter(), Counter()
+            words = Counter()
             for t in texts:
-                raw.update(t.split())
-            for run, n in raw.items():
-                for w in LETTERS.findall(run):
-                    words[w] += n
+                words.update(LETTERS.findall(t))
             return pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         return apply
@@ -74,13 +78,29 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 class Ordinary:
-    """Ordinary strings and text, made of corpus words and words of code."""
+    """Ordinary strings and text, made of the words given, each used once before any again, of frequent words and words of code."""
 
-    def __init__(self, frequent: list[str], rare: list[str], seed: int):
-        self.rng, self.pools = random.Random(seed), [x for x in (frequent, rare, CODE) if x]
+    def __init__(self, words: list[str], frequent: list[str], rng: random.Random):
+        self.rng, self.words, self.used, self.due = rng, words, 0, False
+        self.pools = [x for x in (words, frequent, CODE) if x]
 
     def word(self) -> str:
-        return self.rng.choice(self.rng.choice(self.pools))
+        pool = self.words if self.due else self.rng.choice(self.pools)
+        self.due = False
+        if pool is self.words and self.used < len(pool):
+            self.used += 1
+            return pool[self.used - 1]
+        return self.rng.choice(pool)
+
+    def strings(self) -> Iterator[str]:
+        """Strings as long as candidates are, each with a new one of the words or more, until every word stood in one."""
+        while self.used < len(self.words):
+            used, self.due = self.used, True
+            x = self.string()
+            if len(x) >= LENGTHS[0]:
+                yield x
+            else:
+                self.used = used
 
     def text(self, size: int) -> str:
         out = ""
@@ -123,53 +143,109 @@ def kind_of(candidate: str) -> int:
     return (any(map(str.isalpha, candidate))) * len(LENGTHS) + max(0, bisect_right(LENGTHS, len(candidate)) - 1)
 
 
+def insertions(words: list[str], frequent: list[str], seed: int, rounds: int) -> Iterator[tuple[str, str, list[str]]]:
+    """(before, after, strings): in every round each of ``words`` stands in a string, and others of them in the text around it."""
+    rng = random.Random(seed)
+    n = rng.randrange(NUMBER)
+    for _ in range(rounds):
+        rng.shuffle(words := sorted(words))
+        for at in range(0, len(words), GROUP):
+            text = Ordinary(words[at + GROUP :] + words[:at], frequent, rng).text(2 * CONTEXT)
+            ordinary, strings = Ordinary(words[at : at + GROUP], frequent, rng), []
+            for x in ordinary.strings():
+                strings.append(x)
+                n += 1
+                if n % NUMBER == 0 and len(x := ordinary.number()) >= LENGTHS[0]:
+                    strings.append(x)
+            yield text[:CONTEXT], text[CONTEXT:], strings
+
+
+def least_of(seen: list[tuple[int, float, int]]) -> list[float]:
+    """From (class, novelty, how many) the novelty that a share of ``FALSE`` of a class exceed, for each class."""
+    total, out = Counter(), [1.0] * (2 * len(LENGTHS))
+    for kind, _, n in seen:
+        total[kind] += n
+    rank = {kind: int(n * (1 - FALSE)) for kind, n in total.items()}
+    for kind, value, n in sorted(seen):
+        if rank[kind] >= 0:
+            out[kind] = value
+            rank[kind] -= n
+    return out
+
+
 class Novelty:
     """Marginal compressed bytes of a string in its surroundings, per byte of the string, and the
-    thresholds of novelty."""
+    thresholds of novelty, without which it tells no novel strings."""
 
-    def __init__(self, frequent: list[str] = (), rare: list[str] = (), least: list[float] | None = None):
-        self.args = list(frequent), list(rare)
-        ordinary = Ordinary(*self.args, seed=1)
+    def __init__(self, frequent: list[str] = (), next_frequent: list[str] = (), least: list[float] | None = None):
+        self.frequent, self.next_frequent, self.least = list(frequent), list(next_frequent), least
+        ordinary = Ordinary(self.next_frequent, self.frequent, random.Random(1))
         self.ballasts = [ordinary.text(BALLAST).encode() for _ in range(BALLASTS)]
-        self.dictionary = " ".join([*reversed(self.args[0]), *CODE]).encode()
+        self.dictionary = " ".join([*reversed(self.frequent), *CODE]).encode()
         primed = zstandard.ZstdCompressionDict(self.dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primed.precompute_compress(level=LEVEL)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.least = least or self.calibrate(Ordinary(*self.args, seed=2))
 
     def __reduce__(self):
-        return Novelty, (*self.args, self.least)
+        return Novelty, (self.frequent, self.next_frequent, self.least)
 
     def size(self, text: str) -> int:
         data = text.encode()
         return sum(len(self.compressor.compress(x + data)) for x in self.ballasts)
 
+    def per_byte(self, more: int, candidate: str) -> float:
+        return more / max(1, len(self.ballasts) * len(candidate.encode()))
+
     def __call__(self, before: str, candidate: str, after: str) -> float:
         around = before + after + " "
-        return (self.size(around + candidate) - self.size(around)) / max(1, len(self.ballasts) * len(candidate.encode()))
-
-    def calibrate(self, ordinary: Ordinary) -> list[float]:
-        """The novelty that a share of ``FALSE`` of ordinary insertions exceed, for each class."""
-        seen: list[list[float]] = [[] for _ in range(2 * len(LENGTHS))]
-        for i in range(INSERTIONS):
-            text, x = ordinary.text(2 * CONTEXT), ordinary.number() if i % 4 == 0 else ordinary.string()
-            if len(x) >= LENGTHS[0]:
-                seen[kind_of(x)].append(self(text[:CONTEXT], x, text[CONTEXT:]))
-        return [sorted(x)[int(len(x) * (1 - FALSE))] if x else 1.0 for x in seen]
+        return self.per_byte(self.size(around + candidate) - self.size(around), candidate)
+
+    def measured(self, words: list[str], seed: int, rounds: int) -> Counter:
+        """How many insertions of ``words`` have which (class, novelty)."""
+        seen = Counter()
+        for before, after, strings in insertions(words, self.frequent, seed, rounds):
+            around = before + after + " "
+            empty = self.size(around)
+            for x in strings:
+                seen[kind_of(x), self.per_byte(self.size(around + x) - empty, x)] += 1
+        return seen
 
     def novel(self, before: str, candidate: str, after: str) -> bool:
         return self(before, candidate, after) > self.least[kind_of(candidate)]
 
 
-def train(docs: DataFrame, frequent: int = FREQUENT, rare: int = RARE) -> Novelty:
-    """The dictionary from word counts over all documents; about ``rare`` words, those of least hash
-    that occur at least twice, make up ordinary strings."""
+def calibrate(counts: DataFrame, novelty: Novelty) -> list[float]:
+    """The thresholds from insertions of all words of ``counts``. What is measured for a word depends on all words, not on how they are dealt."""
+    total = counts.count()
+    rounds = -(-INSERTIONS // max(1, total))
+    if not total:
+        return least_of([(*k, n) for k, n in novelty.measured(CODE, 0, -(-INSERTIONS // len(CODE))).items()])
+    shared = counts.sparkSession.sparkContext.broadcast(novelty)
+    bucket = F.pmod(F.xxhash64("word"), F.lit(-(-total // BUCKET)))
+
+    def run(batches):
+        novelty, seen = shared.value, Counter()
+        for batch in batches:
+            for i, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                seen.update(novelty.measured(words, i, rounds))
+        kinds, values = zip(*seen) if seen else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.float64()), pa.array(list(seen.values()), pa.int64())], ["kind", "novelty", "n"])
+
+    buckets = counts.select("word", bucket.alias("bucket")).repartition(-(-total // TASK), "bucket").groupBy("bucket").agg(F.collect_list("word").alias("words"))
+    rows = buckets.mapInArrow(run, "kind int, novelty double, n long").groupBy("kind", "novelty").agg(F.sum("n").alias("n")).collect()
+    return least_of([tuple(r) for r in rows])
+
+
+def train(docs: DataFrame, frequent: int = FREQUENT) -> Novelty:
+    """The dictionary from word counts over all documents, the thresholds from all words."""
     scratch = Scratch(docs.sparkSession, "identifiers")
     counts = scratch.write(identifiers(docs))
-    top = [r["word"] for r in sorted(most_frequent(counts, "n", frequent).collect(), key=lambda r: (-r["n"], r["word"]))]
-    some = sorted(r["word"] for r in hash_sample(counts.where("n > 1"), "word", rare).collect())
+    ranked = lambda k: [r["word"] for r in sorted(most_frequent(counts, "n", k).collect(), key=lambda r: (-r["n"], r["word"]))]
+    top = ranked(frequent)
+    more = ranked(2 * frequent)[len(top) :]
+    least = calibrate(counts, Novelty(top, more))
     scratch.drop(counts)
-    return Novelty(top, some)
+    return Novelty(top, more, least)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

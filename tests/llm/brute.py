@@ -169,6 +169,22 @@ def novel(text, novelty, context=120):
     return out
 
 
+def thresholds(novelty, insertions):
+    """The 99 % points of novelty of (before, after, strings), from whole compressed texts and full sorted lists."""
+    import zstandard
+
+    primed = zstandard.ZstdCompressionDict(novelty.dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=3)
+    size = lambda t: sum(len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b + t.encode())) for b in novelty.ballasts)
+    seen = [[] for _ in range(16)]
+    for before, after, strings in insertions:
+        for x in strings:
+            row = sum(len(x) >= k for k in (8, 10, 12, 14, 16, 20, 24, 32)) - 1 + 8 * any(c.isalpha() for c in x)
+            around = before + after + " "
+            seen[row].append((size(around + x) - size(around)) / len(novelty.ballasts) / len(x.encode()))
+    return [sorted(x)[int(len(x) * 0.99)] if x else 1.0 for x in seen]
+
+
 def base_lm(docs):
     """(held out, tokens, known, N, base score) by id."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

@@ -645,6 +645,43 @@ def test_dictionary_counts_every_document(spark, docs):
     assert {r.word: r.n for r in secrets.identifiers(frame(spark, docs)).collect()} == want
 
 
+def words_of_two_sorts(spark):
+    """9,000 words of syllables, each twice, and 4,000 of 24 mixed letters, each once."""
+    rng = random.Random(18)
+    plain = sorted({"".join(rng.choices(("an", "ter", "lo", "mi", "sta", "ren", "ko", "vel", "du", "ish"), k=rng.randrange(3, 6))) for _ in range(14_000)})[:9_000]
+    mixed = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24)) for _ in range(4_000)]
+    every = [*plain, *plain, *mixed]
+    rng.shuffle(every)
+    return plain, mixed, frame(spark, [(i, " ".join(every[i::300])) for i in range(300)])
+
+
+def test_thresholds_come_from_all_words(spark):
+    plain, mixed, docs = words_of_two_sorts(spark)
+    counts = secrets.identifiers(docs).cache()
+    novelty = secrets.Novelty(plain[:500], plain[500:900])
+    total = len(plain) + len(mixed)
+    buckets = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(-(-total // 64))).alias("i")).agg(F.collect_list("word").alias("w")).collect()
+    rounds = -(-24_000 // total)
+    made = [x for b in buckets for x in secrets.insertions(b.w, novelty.frequent, b.i, rounds)]
+    pieces = " ".join(x for *_, strings in made for x in strings).lower()
+    assert total > 12_000 and all(w.lower() in pieces for w in [*plain, *mixed])
+    least = secrets.calibrate(counts, novelty)
+    assert least == pytest.approx(brute.thresholds(novelty, made))
+    assert least == secrets.calibrate(counts.repartition(7), novelty)
+    counts.unpersist()
+
+
+def test_words_that_occur_once_are_ordinary(spark):
+    plain, mixed, docs = words_of_two_sorts(spark)
+    novelty, rng = secrets.train(docs), random.Random(5)
+    around = lambda: " ".join(rng.choices([*plain, *mixed], k=20))[:119]
+    assert sum(novelty.novel(f"{around()} ", w, f" {around()}") for w in mixed[:400]) <= 40
+
+
+def test_thresholds_without_words(empty):
+    assert secrets.train(empty).least == secrets.train(empty).least and max(secrets.train(empty).least) < 2
+
+
 def test_corpus_is_odd_enough():
     docs = corpus()
     assert any(t is None for _, t in docs) and any(i is None for i, _ in docs) and max(len(t or "") for _, t in docs) > 40_000
