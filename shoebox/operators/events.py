@@ -12,7 +12,7 @@ import itertools
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shoebox.functions.scalar import EARTH_RADIUS_M, body_signature, event_title, time_key
 from shoebox.operators.dedup import number_rows
@@ -97,12 +97,14 @@ def day_events(items: DataFrame, gap_minutes: float = GAP_MINUTES, meters: float
     return rows.mapInArrow(run, "item_id string, day string, ts timestamp_ntz, seq long")
 
 
-def day_islands(items: DataFrame) -> DataFrame:
-    """(item_id, day, island): the walk without positions, as gaps and islands of the body."""
+def day_islands(items: DataFrame, peer: Column | None = None) -> DataFrame:
+    """(item_id, day, island): the walk without positions, as gaps and islands of the body. Rows of equal time and ``peer``
+    (a beginning of the id; the id itself if not given) share the island of their last."""
+    peers = W.partitionBy("day").orderBy(F.col("timestamp_utc").asc_nulls_first(), F.col("item_id") if peer is None else peer)
     order = W.partitionBy("day").orderBy(F.col("timestamp_utc").asc_nulls_first(), "item_id")
     rows = keyed(items).where("day <> '?'").select("item_id", "day", "body", "timestamp_utc")
     change = F.when(F.lag("body").over(order) != F.col("body"), 1).otherwise(0)
-    return rows.withColumn("c", change).select("item_id", "day", F.sum("c").over(order).alias("island"))
+    return rows.withColumn("c", change).select("item_id", "day", F.sum("c").over(peers).alias("island"))
 
 
 def body_split(items: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
