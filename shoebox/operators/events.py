@@ -107,15 +107,16 @@ def day_islands(items: DataFrame, peer: Column | None = None) -> DataFrame:
     return rows.withColumn("c", change).select("item_id", "day", F.sum("c").over(peers).alias("island"))
 
 
-def body_split(items: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
-    """(item_id, day, part): a new part where the body changes after a gap; a missing time counts as one."""
+def body_split(items: DataFrame, gap_minutes: float = GAP_MINUTES, peer: Column | None = None) -> DataFrame:
+    """(item_id, day, part): a new part where the body changes after a gap; a missing time counts as one. ``peer`` as in ``day_islands``."""
+    peers = W.partitionBy("day").orderBy(F.col("timestamp_utc").asc_nulls_last(), F.col("item_id") if peer is None else peer)
     order = W.partitionBy("day").orderBy(F.col("timestamp_utc").asc_nulls_last(), "item_id")
     rows = keyed(items).where("day <> '?'").select("item_id", "day", "body", "timestamp_utc")
     last = F.last("timestamp_utc", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_last", last).withColumn("_body", F.lag("body").over(order))
     gap = F.col("timestamp_utc").isNull() | F.col("_last").isNull() | (F.expr("timestampdiff(MICROSECOND, _last, timestamp_utc)") > int(gap_minutes * 60e6))
     rows = rows.withColumn("_c", F.when((F.col("_body") != F.col("body")) & gap, 1).otherwise(0))
-    return rows.select("item_id", "day", F.sum("_c").over(order).alias("part"))
+    return rows.select("item_id", "day", F.sum("_c").over(peers).alias("part"))
 
 
 def chunks(members: DataFrame, keys: list[str], max_members: int = MAX_MEMBERS) -> DataFrame:
